@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -13,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.shared import slices, text_bytes, written
-from tidewell.llm.tokens import BATCH_BYTES, END, encoder
+from tidewell.llm.tokens import BATCH_BYTES, crc32, encoder
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, keeps_space: bool = False) -> DataFrame:
@@ -30,11 +29,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, keeps_space: b
         for batch in slices(batches, text_bytes, BATCH_BYTES):
             rows = []
             for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                ids += END
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    n = len(part) // 4
-                    rows.append((doc, k, at // 4, n, zlib.crc32(part), block, seen[n]))
+                ids = np.frombuffer(ids + bytes(enc.kind.itemsize), enc.kind)
+                for k, at in enumerate(range(0, len(ids), capacity)):
+                    part = ids[at : at + capacity]
+                    n = len(part)
+                    rows.append((doc, k, at, n, crc32(part), block, seen[n]))
                     seen[n] += 1
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), KINDS, strict=True)], NAMES)
 

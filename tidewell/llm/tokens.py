@@ -6,6 +6,7 @@ import os
 import re
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,13 @@ BATCH_BYTES = 2_000_000
 #: White space by the tokenizers' own definition; Python's also holds U+001C to U+001F.
 OTHER_SPACE = re.compile("[\x1c-\x1f]")
 SPACE_IN_RUN = re.compile(r"\s \s|  ")
+SPACE_AT_LINE = re.compile(r"\s\n|\n\s|\n\Z")
+MARKS = ",.;:!?"
+#: An optional blank and letters up to Latin Extended-B, whose classes and cases are the same in all Unicode versions.
+LETTERS = re.compile(" ?[A-Za-zªµºÀ-ÖØ-öø-\u0240]+")
+#: How byte-level vocabularies show bytes: printable Latin-1 as it is, the rest from U+0100 on, in order.
+PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+SHOWN = {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
 
 
 class Encoder:
@@ -29,7 +37,8 @@ class Encoder:
 
     Neither tokenizer kind merges across the start of a blank-separated segment, so a text's ids are its
     segments' ids in turn. ``keeps_space``: a byte-level tokenizer, whose segments keep the leading blank.
-    Texts in which white space runs make that unsure go to the library whole.
+    Texts in which white space runs make that unsure go to the library whole. A new segment that ends in a letter
+    and a mark is put together from its stem and the mark, as letters and marks never share a token.
     """
 
     def __init__(self, path: str, keeps_space: bool):
@@ -38,30 +47,56 @@ class Encoder:
 
         self.library = Tokenizer.from_file(path)
         self.library.encode_special_tokens = True
+        #: Ids are held in 2 bytes where the vocabulary allows it.
+        self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.keeps_space = keeps_space
         self.known: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def word(self, segment: str) -> bytes:
+        """Ids of a segment of letters: one token of the pre-tokenizer, so the model alone gives them."""
+        text = segment if self.keeps_space else segment.lower()
+        shown = text.encode().decode("latin-1").translate(SHOWN)
+        return array(self.kind.char, [t.id for t in self.library.model.tokenize(shown)]).tobytes()
 
     def segments(self, text: str) -> list[str] | None:
         if OTHER_SPACE.search(text):
             return None
         if not self.keeps_space:
             return text.split()
-        if SPACE_IN_RUN.search(text):
+        if "\0" in text or SPACE_IN_RUN.search(text):
             return None
-        return text.replace(" ", "\0 ").split("\0") if "\0" not in text else None
+        if not SPACE_AT_LINE.search(text):
+            text = text.replace("\n", "\0\n\0")
+        return text.replace(" ", "\0 ").split("\0")
+
+    def learn(self, new: set[str]) -> None:
+        """Encode the segments that aren't known yet."""
+        known, odd = self.known, []
+        for x in new:
+            stem, mark = (x[:-1], x[-1]) if x[-1:] in MARKS and x[-2:-1].isalpha() else (x, "")
+            if not LETTERS.fullmatch(stem):
+                odd.append(x)
+                continue
+            ids = known.get(stem) or self.word(stem)
+            known[x] = ids + known[mark] if mark else ids
+        known.update(zip(odd, self.whole(odd), strict=True))
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit integers."""
+        """Ids of each text as little-endian unsigned integers of ``kind``."""
+        if not self.known or len(self.known) > CACHED:
+            self.known = dict(zip(MARKS, self.whole(list(MARKS)), strict=True))
         parts = [self.segments(t) for t in texts]
-        if len(self.known) > CACHED:
-            self.known = {}
-        new = list(set().union(*(p for p in parts if p)).difference(self.known))
-        self.known.update(zip(new, self.whole(new), strict=True))
-        get = self.known.__getitem__
-        out = [b"" if p is None else b"".join(map(get, p)) for p in parts]
+        get = self.known.get
+        rows = [list(map(get, p or ())) for p in parts]
+        gaps = [[i for i, ids in enumerate(r) if ids is None] for r in rows]
+        self.learn({p[i] for p, g in zip(parts, gaps, strict=True) for i in g})
+        for p, r, g in zip(parts, rows, gaps, strict=True):
+            for i in g:
+                r[i] = get(p[i])
+        out = list(map(b"".join, rows))
         odd = [i for i, p in enumerate(parts) if p is None]
         for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
             out[i] = ids
@@ -79,7 +114,9 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return ENCODERS[key]
 
 
-END = b"\0\0\0\0"
+def crc32(ids: np.ndarray) -> int:
+    """CRC-32 of ids as little-endian unsigned 32-bit integers."""
+    return zlib.crc32(ids.astype("<u4").tobytes())
 
 
 def token_files(docs: DataFrame, tokenizer: str, folder: str, length: int = 2048) -> DataFrame:
@@ -87,7 +124,7 @@ def token_files(docs: DataFrame, tokenizer: str, folder: str, length: int = 2048
 
     Documents are range-partitioned by ``doc_id`` (sampled splitters, so every shard has a like share)
     and sorted in each shard. A shard becomes two Arrow IPC files: ``*.tokens.arrow`` has record batches of
-    ``ids fixed_size_list<uint32>[length]`` and ``mask fixed_size_list<bool>[length]`` (false: padding, in the
+    ``ids fixed_size_list<uint16 or uint32>[length]`` (as the vocabulary needs) and ``mask fixed_size_list<bool>[length]`` (false: padding, in the
     shard's last sequence only), ``*.index.arrow`` has ``doc_id, start, n_tokens`` within the shard. Buffers are
     uncompressed and contiguous, so that a reader maps sequence ``i`` without copying. Each text ends with id 0.
 
@@ -99,10 +136,10 @@ def token_files(docs: DataFrame, tokenizer: str, folder: str, length: int = 2048
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard = encoder(tokenizer, True), TaskContext.get().partitionId()
         fs, root = file_system(folder)
-        row = pa.schema([("ids", pa.list_(pa.uint32(), length)), ("mask", pa.list_(pa.bool_(), length))])
+        row = pa.schema([("ids", pa.list_(pa.from_numpy_dtype(enc.kind), length)), ("mask", pa.list_(pa.bool_(), length))])
         name = f"{root}/{shard:06d}-{uuid.uuid4().hex}"
         sink = writer = None
-        rest, doc_ids, counts = np.zeros(0, np.uint32), [], []
+        rest, doc_ids, counts = np.zeros(0, enc.kind), [], []
 
         def put(ids: np.ndarray, real: int) -> None:
             mask = np.zeros(len(ids), bool)
@@ -116,17 +153,18 @@ def token_files(docs: DataFrame, tokenizer: str, folder: str, length: int = 2048
                 sink = fs.open_output_stream(f"{name}.tokens.arrow")
                 writer = pa.ipc.new_file(sink, row)
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            ids = [x + END for x in enc.encode(texts)]
+            end = bytes(enc.kind.itemsize)
+            ids = [x + end for x in enc.encode(texts)]
             doc_ids += batch.column("doc_id").to_pylist()
-            counts += [len(x) // 4 for x in ids]
-            rest = np.concatenate([rest, np.frombuffer(b"".join(ids), np.uint32)])
+            counts += [len(x) // len(end) for x in ids]
+            rest = np.concatenate([rest, np.frombuffer(b"".join(ids), enc.kind)])
             if full := len(rest) // length * length:
                 put(rest[:full], full)
                 rest = rest[full:]
         if sink is None:
             return
         if len(rest):
-            put(np.concatenate([rest, np.zeros(-len(rest) % length, np.uint32)]), len(rest))
+            put(np.concatenate([rest, np.zeros(-len(rest) % length, enc.kind)]), len(rest))
         writer.close()
         sink.close()
         starts = np.concatenate([[0], np.cumsum(counts)])
@@ -163,7 +201,7 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str, leng
                     for k in range(index.num_record_batches):
                         part = index.get_batch(k)
                         starts, counts = (part.column(c).to_pylist() for c in ("start", "n_tokens"))
-                        crc = [zlib.crc32(parts.ids(s, n)) for s, n in zip(starts, counts, strict=True)]
+                        crc = [crc32(parts.ids(s, n)) for s, n in zip(starts, counts, strict=True)]
                         start = pa.array(np.array(starts, np.int64) + shard["before"], pa.int64())
                         yield pa.RecordBatch.from_arrays([part.column("doc_id"), start, part.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
@@ -175,11 +213,12 @@ class Sequences:
     """Random access to the ids of one token file; one batch's view is held at a time."""
 
     def __init__(self, reader: pa.ipc.RecordBatchFileReader, length: int):
-        self.reader, self.length, self.at, self.view = reader, length, -1, np.zeros(0, np.uint32)
+        self.reader, self.length, self.at, self.view = reader, length, -1, None
         rows = [reader.get_batch(k).num_rows for k in range(reader.num_record_batches)]
         self.first = np.concatenate([[0], np.cumsum(rows)]) * length
 
-    def ids(self, start: int, n: int) -> bytes:
+    def ids(self, start: int, n: int) -> np.ndarray:
+        """``n`` ids from ``start`` on: a view of the mapped file unless they span two batches."""
         out = []
         while n:
             k = int(np.searchsorted(self.first, start, "right")) - 1
@@ -187,9 +226,9 @@ class Sequences:
                 self.at, self.view = k, self.reader.get_batch(k).column("ids").flatten().to_numpy(zero_copy_only=True)
             at = start - int(self.first[k])
             got = self.view[at : at + n]
-            out.append(got.tobytes())
+            out.append(got)
             start, n = start + len(got), n - len(got)
-        return b"".join(out)
+        return out[0] if len(out) == 1 else np.concatenate(out)
 
 
 def token_binary(docs: DataFrame, tokenizer: str, length: int = 2048) -> DataFrame:

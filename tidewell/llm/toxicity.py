@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import slices, text_bytes
+from tidewell.llm.shared import slices, text_bytes, written
 
 # Identity terms by language; terms of one list stand for each other in a swap.
 IDENTITY = (
@@ -77,64 +77,80 @@ class Classifier:
 NONE: list[str] = []
 
 
-def select(bags: list[Counter[str]], labels: np.ndarray, least_z: float, least_docs: int) -> list[str]:
-    """Features whose share of documents differs between the labels by ``least_z`` standard errors, and identity terms."""
-    sums = {1: Counter(), 0: Counter()}
-    for bag, y in zip(bags, labels, strict=True):
-        sums[int(y)].update(bag.keys())
-    n1, n0 = max(1, int(labels.sum())), max(1, int(len(labels) - labels.sum()))
-    chosen = []
-    for f in sums[1].keys() | sums[0].keys():
-        a, b = sums[1][f], sums[0][f]
-        if f in GROUP:
-            chosen.append(f)
-        elif a + b >= least_docs:
-            p = (a + b) / (n1 + n0)
-            if abs(a / n1 - b / n0) >= least_z * math.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) > 0:
-                chosen.append(f)
-    return sorted(chosen)
-
-
-def fit(
-    rows: list[tuple[str | None, int]], penalty: float = 1.0, ridge: float = 1e-5, least_z: float = 5.0, least_docs: int = 5, steps: int = 500
-) -> Classifier:
-    """Minimise log loss + ``penalty`` * mean squared score change under identity swaps + ``ridge`` * squared weights.
+def bag(words: Counter[str], wanted: dict[str, int] | None = None) -> Counter:
+    """Counts of a sentence's features; with ``wanted``, of those by their number."""
+    out: Counter = Counter()
+    for w, n in words.items():
+        for f in features(w):
+            if wanted is None:
+                out[f] += n
+            elif f in wanted:
+                out[wanted[f]] += n
+    return out
 
-    Score changes are taken on the logit. Without labelled rows of both kinds the score is the share of
-    toxic rows for every text, 0 when there are no rows.
-    """
-    labels = np.array([y for _, y in rows], np.float64)
-    if not len(labels) or labels.min() == labels.max():
-        share = float(labels.mean()) if len(labels) else 0.0
-        return Classifier({}, math.log((share + 1e-9) / (1 - share + 1e-9)))
-    sentences = [counted(t) for t, _ in rows]
 
-    def bag(words: Counter[str]) -> Counter[str]:
-        out: Counter[str] = Counter()
-        for w, n in words.items():
-            for f in features(w):
-                out[f] += n
-        return out
+def shares(labelled: DataFrame) -> DataFrame:
+    """``feature, toxic, clean``: in how many toxic and clean documents each feature is."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_bytes, BATCH_BYTES // 4):
+            sums: dict[int, Counter[str]] = {0: Counter(), 1: Counter()}
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                sums[toxic].update({f for w in set(WORD.findall(text.lower())) for f in features(w)})
+            names = sorted(sums[0].keys() | sums[1].keys())
+            counts = [pa.array([sums[y][f] for f in names], pa.int64()) for y in (1, 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *counts], ["feature", "toxic", "clean"])
+
+    rows = labelled.select("text", "toxic").mapInArrow(run, "feature string, toxic long, clean long")
+    return rows.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+
+
+def chosen(counts: DataFrame, n1: int, n0: int, least_z: float, least_docs: int) -> list[str]:
+    """Features whose share of documents differs between the labels by ``least_z`` standard errors, and identity terms."""
+    p = (F.col("toxic") + F.col("clean")) / (n1 + n0)
+    error = F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
+    far = F.abs(F.col("toxic") / n1 - F.col("clean") / n0) >= least_z * error
+    rows = counts.where(((F.col("toxic") + F.col("clean") >= least_docs) & (error > 0) & far) | F.col("feature").isin(*GROUP))
+    return sorted(r["feature"] for r in rows.select("feature").collect())
+
 
-    bags = [bag(s) for s in sentences]
-    pairs = [(i, bag(other)) for i, s in enumerate(sentences) for other in swapped(s)]
-    seen = {f for _, b in pairs for f in b if f in GROUP}
-    names = sorted({*select(bags, labels, least_z, least_docs), *seen})
+def vectors(labelled: DataFrame, names: list[str]) -> DataFrame:
+    """``toxic, at, value`` and, per swap of identity terms, ``gaps`` (at, value): the changes of the log counts."""
     column = {f: k for k, f in enumerate(names)}
 
-    def matrix(items: list[dict[str, float]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        cells = [(i, column[f], v) for i, x in enumerate(items) for f, v in x.items() if f in column]
-        i, j, v = zip(*cells, strict=True) if cells else ((), (), ())
-        return np.array(i, np.int64), np.array(j, np.int64), np.array(v, np.float64)
-
-    logs = [{f: math.log1p(n) for f, n in b.items() if f in column} for b in bags]
-    gaps = []
-    for i, b in pairs:
-        other = {f: math.log1p(n) for f, n in b.items() if f in column}
-        gaps.append({f: other.get(f, 0.0) - logs[i].get(f, 0.0) for f in other.keys() | logs[i].keys()})
-    x, d = matrix(logs), matrix(gaps)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, text_bytes, BATCH_BYTES):
+            out = []
+            for text, toxic in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+                own = counted(text)
+                logs = {f: math.log1p(n) for f, n in bag(own, column).items()}
+                gaps = []
+                for other in swapped(own):
+                    new = {f: math.log1p(n) for f, n in bag(other, column).items()}
+                    gap = {f: d for f in new.keys() | logs.keys() if (d := new.get(f, 0.0) - logs.get(f, 0.0))}
+                    gaps.append({"at": list(gap), "value": list(gap.values())})
+                out.append({"toxic": toxic, "at": list(logs), "value": list(logs.values()), "gaps": gaps})
+            yield pa.RecordBatch.from_pylist(out, schema=VECTOR)
+
+    return labelled.select("text", "toxic").mapInArrow(run, "toxic int, at array<int>, value array<double>, gaps array<struct<at:array<int>,value:array<double>>>")
+
+
+CELLS = [("at", pa.list_(pa.int32())), ("value", pa.list_(pa.float64()))]
+VECTOR = pa.schema([("toxic", pa.int32()), *CELLS, ("gaps", pa.list_(pa.struct(CELLS)))])
+
+
+def solve(rows: list, names: list[str], penalty: float, ridge: float, steps: int) -> Classifier:
+    """Minimise log loss + ``penalty`` * mean squared change of the logit under swaps + ``ridge`` * squared weights."""
+    labels = np.array([r["toxic"] for r in rows], np.float64)
+    gaps = [g for r in rows for g in r["gaps"]]
+
+    def matrix(items: list) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i = np.repeat(np.arange(len(items)), [len(x["at"]) for x in items])
+        return i, np.array([c for x in items for c in x["at"]], np.int64), np.array([v for x in items for v in x["value"]], np.float64)
+
+    x, d = matrix(rows), matrix(gaps)
     w, bias, m = np.zeros(len(names)), math.log(labels.mean() / (1 - labels.mean())), len(rows)
-    step, speed, fast = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0.1
+    step, speed, rate = np.zeros(len(names) + 1), np.zeros(len(names) + 1), 0.1
     for t in range(1, steps + 1):
         z = np.bincount(x[0], x[2] * w[x[1]], m) + bias
         error = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - labels
@@ -143,22 +159,32 @@ def fit(
         slope += 2 * penalty * np.bincount(d[1], d[2] * change[d[0]], len(names)) / max(1, len(gaps))
         both = np.append(slope, error.mean())
         step, speed = 0.9 * step + 0.1 * both, 0.999 * speed + 0.001 * both**2
-        move = fast * (step / (1 - 0.9**t)) / (np.sqrt(speed / (1 - 0.999**t)) + 1e-8)
+        move = rate * (step / (1 - 0.9**t)) / (np.sqrt(speed / (1 - 0.999**t)) + 1e-8)
         w, bias = w - move[:-1], bias - float(move[-1])
     return Classifier({f: float(v) for f, v in zip(names, w, strict=True) if v}, float(bias))
 
 
-def learn(docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, **settings) -> Classifier:
-    """Fit on at most ``most_rows`` labelled documents, the first by a hash of doc_id and text.
+def learn(
+    docs: DataFrame, labels: DataFrame, most_rows: int = 8_000, penalty: float = 1.0, ridge: float = 1e-5, least_z: float = 5.0, least_docs: int = 5, steps: int = 500
+) -> Classifier:
+    """Fit on at most ``most_rows`` labelled documents, the first by a hash of doc_id.
 
-    Rows with a null label or text are left out. Only that sample reaches the driver.
+    Features are counted and chosen by Spark; only the sample's vectors over the chosen ones reach the driver.
+    Rows with a null label or text are left out. Without rows of both kinds the score is the share of toxic rows for
+    every text, 0 when there are none.
     """
-    marked = labels.where("toxic is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
+    marked = labels.where("toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     # The hash picks the sample from labels alone, so that texts of other rows aren't moved.
     picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(most_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").where("text is not null").select("doc_id", "text", "toxic")
-    got = sorted((r["doc_id"], r["text"], r["toxic"]) for r in rows.collect())
-    return fit([(t, y) for _, t, y in got], **settings)
+    rows = written(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("text", "toxic"))
+    n = rows.agg(F.count("*").alias("all"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
+    n1, n0 = n["toxic"], n["all"] - n["toxic"]
+    if not n1 or not n0:
+        share = n1 / max(1, n["all"])
+        return Classifier({}, math.log((share + 1e-9) / (1 - share + 1e-9)))
+    names = chosen(shares(rows), n1, n0, least_z, least_docs)
+    names = sorted({*names, *GROUP})
+    return solve(vectors(rows, names).collect(), names, penalty, ridge, steps)
 
 
 def toxicity(docs: DataFrame, model: Classifier, threshold: float = 0.7) -> DataFrame:
