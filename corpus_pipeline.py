@@ -1,22 +1,63 @@
-"""A corpus pipeline of five stages over ``documents``."""
+"""A corpus pipeline of five stages over ``documents``.
+
+Every stage works on all rows of its predecessor and hands on the columns of ``documents``; the last gives
+the pieces of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import toxicity
-from tidewell.llm.queries import read
+from tidewell.llm import decontamination, near_dedup, packing, suffix_dedup, toxicity
+from tidewell.llm.queries import read, remainder, tokenizer_path
 from tidewell.llm.shared import written
 
+#: Bytes of the least repeated string that the suffix stage removes: under 50 words of the corpus's 6.5 bytes.
+REPEAT_BYTES = 240
+
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
-    model = toxicity.learn(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
-    toxic = toxicity.toxicity(docs, model).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(toxic, "doc_id", "left_anti")
+    """Documents that the toxicity classifier doesn't reject; it learns from the same labels as the query of operator 9."""
+    model = toxicity.learn(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels").where(remainder(3) != 1))
+    return toxicity.toxicity(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of five-word shingle sets with similarity 0.8 or more: the least doc_id.
+
+    Of rows that share a doc_id one stays. Rows without a doc_id stay if nothing else is in their group.
+    """
+    kept = near_dedup.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
+    return rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null")).select(*docs.columns)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the strings of ``REPEAT_BYTES`` bytes that start more than once in the corpus; ``n_chars`` follows."""
+    left = suffix_dedup.suffix_dedup(docs, REPEAT_BYTES)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return left.select(*docs.columns)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in which no ten-word window of a benchmark item occurs."""
+    return decontamination.phrase_matches(docs, read(spark, sf_dir, "benchmark")).where("not contaminated").select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the remaining documents with their place in sequences of 2048 tokens."""
+    return packing.best_fit_packing(docs, tokenizer_path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -69,7 +69,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
     model = toxicity.learn(docs, labels.where(remainder(3) != 1))
     held = (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out")
-    return toxicity.toxicity(docs, model).select("doc_id", held, "score", "predicted")
+    return toxicity.toxicity(docs.select("doc_id", "text"), model).select("doc_id", held, "score", "predicted")
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

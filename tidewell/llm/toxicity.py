@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidewell.llm.shared import slices, text_bytes, written
 
@@ -188,16 +189,18 @@ def learn(
 
 
 def toxicity(docs: DataFrame, model: Classifier, threshold: float = 0.7) -> DataFrame:
-    """``doc_id, score, predicted`` for every whole text; ``predicted`` is 1 from ``threshold`` on.
+    """``docs`` with ``score, predicted`` (replacing columns of these names) for every whole text; 1 from ``threshold`` on.
 
-    Null and empty texts get the model's bias as score. Repeated rows get a result each. One narrow stage.
+    Null and empty texts get the model's bias as score. Repeated rows get a result each. One narrow stage: columns
+    that aren't needed are best dropped before, as every column passes through the tasks' batches.
     """
+    base = docs.drop("score", "predicted").withColumn("text", F.col("text").cast("string"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_bytes, BATCH_BYTES):
             scores = pa.array([shared.value.score(t) for t in batch.column("text").to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), scores], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores], [*batch.schema.names, "score"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    kinds = StructType([*base.schema.fields, StructField("score", DoubleType())])
+    return base.mapInArrow(run, kinds).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
