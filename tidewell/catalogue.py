@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.plans import reports
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for family in (reports,):
+    QUERIES |= family.QUERIES
+    ORACLE_SQL |= family.ORACLE_SQL
