@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import reports
+from tidewell.plans import curated, reports
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for family in (reports,):
+for family in (reports, curated):
     QUERIES |= family.QUERIES
     ORACLE_SQL |= family.ORACLE_SQL
