@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import curated, reports
+from tidewell.plans import curated, reports, retrieved
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for family in (reports, curated):
+for family in (reports, curated, retrieved):
     QUERIES |= family.QUERIES
     ORACLE_SQL |= family.ORACLE_SQL

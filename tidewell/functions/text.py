@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: White space as Python's ``str.split`` sees it; Java's class lacks U+001C to U+001F.
@@ -19,25 +19,59 @@ def compact(text: Column) -> Column:
     return F.regexp_replace(F.lower(text), SPACE, "")
 
 
-def char_grams(text: Column, sizes: tuple[int, ...]) -> Column:
-    """All character grams of the given sizes, in order, repeats included. Shorter text than a size gives none of it."""
-    parts = []
-    for n in sizes:
-        starts = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-        found = F.transform(starts, lambda i, n=n: F.substring(text, i, F.lit(n)))
-        parts.append(F.when(F.length(text) >= n, found).otherwise(F.array().cast("array<string>")))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
+def characters(text: Column) -> Column:
+    """A text's characters as an array; empty for empty text. Grams need it as a column of its own, so that it is made once a row."""
+    return F.filter(F.split(text, ""), lambda c: c != "")
 
 
-def padded_grams(text: Column) -> Column:
-    """Grams of two and three characters of the normal form between two blanks; blank grams are left out."""
-    return F.filter(char_grams(F.concat(F.lit(" "), normal(text), F.lit(" ")), (2, 3)), lambda g: F.trim(g) != "")
+def char_grams(chars: Column, sizes: tuple[int, ...]) -> Column:
+    """All grams of the given sizes, in order, repeats included; fewer characters than a size give none of it.
 
+    ``chars`` must be a plain column. Characters are fetched by index, so the work is linear in the text.
+    """
+
+    def of(n: int) -> Column:
+        found = F.transform(F.sequence(F.lit(0), F.greatest(F.size(chars) - n, F.lit(0))), lambda i: F.concat(*(F.get(chars, i + k) for k in range(n))))
+        return F.when(F.size(chars) >= n, found).otherwise(F.array().cast("array<string>"))
+
+    return F.concat(*map(of, sizes)) if len(sizes) > 1 else of(sizes[0])
+
+
+def each(array: str) -> Column:
+    """A row per element that isn't null.
+
+    Not the bare column: Spark would infer a filter on it and work all steps that lead to the column into that filter.
+    """
+    return F.explode(F.filter(array, lambda x: x.isNotNull()))
+
+
+def padded(text: Column) -> Column:
+    """The normal form between two blanks."""
+    return F.concat(F.lit(" "), normal(text), F.lit(" "))
+
+
+def with_padded_grams(df: DataFrame, text: str, name: str) -> DataFrame:
+    """``df`` with the grams of two and three characters of the padded normal form; blank grams are left out."""
+    rows = df.withColumn("_chars", characters(padded(F.col(text)))).withColumn(name, char_grams(F.col("_chars"), (2, 3)))
+    return rows.withColumn(name, F.filter(name, lambda g: F.trim(g) != "")).drop("_chars")
 
-def gram_set(text: Column, size: int = 2) -> Column:
-    """Distinct grams of the compact form; shorter text is its own gram, empty text has none."""
-    form = compact(text)
-    return F.when(F.length(form) >= size, F.array_distinct(char_grams(form, (size,)))).when(form != "", F.array(form)).otherwise(F.array().cast("array<string>"))
+
+def with_gram_set(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """``df`` with the distinct two-character grams of the compact form; one character is its own gram, empty text has none."""
+    rows = df.withColumn("_chars", characters(compact(text)))
+    found = F.when(F.size("_chars") >= 2, F.array_distinct(char_grams(F.col("_chars"), (2,)))).otherwise(F.col("_chars"))
+    return rows.withColumn(name, found).drop("_chars")
+
+
+def with_hashed_grams(df: DataFrame, text: str, name: str, width: int) -> DataFrame:
+    """``df`` with the cell (crc32 modulo ``width``) of every gram of two and three characters of the compact form.
+
+    A text of one character is its own gram; an empty one has the gram ``empty``.
+    """
+    rows = df.withColumn("_chars", characters(compact(F.col(text))))
+    short = F.when(F.size("_chars") == 1, F.col("_chars")).otherwise(F.array(F.lit("empty")))
+    found = F.when(F.size("_chars") >= 2, char_grams(F.col("_chars"), (2, 3))).otherwise(short)
+    return rows.withColumn(name, F.transform(found, lambda g: F.pmod(F.crc32(g), F.lit(width)).cast("int"))).drop("_chars")
 
 
 def tokens(text: Column) -> Column:
@@ -51,16 +85,6 @@ def overlap(query: Column, other: Column) -> Column:
     return F.when(F.size(query) > 0, F.size(F.array_intersect(query, other)) / F.size(query)).otherwise(F.lit(0.0))
 
 
-def hashed_grams(text: Column, width: int = 256) -> Column:
-    """The cell (crc32 modulo ``width``) of every gram of two and three characters of the compact form, repeats included.
-
-    A text of one character is its own gram; an empty one has the gram ``empty``.
-    """
-    form = compact(text)
-    found = F.when(F.length(form) >= 2, char_grams(form, (2, 3))).otherwise(F.array(F.when(form != "", form).otherwise("empty")))
-    return F.transform(found, lambda g: F.pmod(F.crc32(g), F.lit(width)).cast("int"))
-
-
 def unit(vector: Column) -> Column:
     """A vector scaled to length 1; zeros stay."""
     size = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda a, x: a + x * x))

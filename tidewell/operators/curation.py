@@ -57,15 +57,16 @@ def containment(docs: DataFrame, items: DataFrame, size: int = 5) -> DataFrame:
     """
 
     def runs(words: Column, n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        return F.transform(starts, lambda i: F.xxhash64(F.array_join(F.slice(words, i, n), " ")))
+        # Words are fetched by index: a slice would copy the whole array each time.
+        found = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
+        return F.when(F.size(words) >= n, found).otherwise(F.array().cast("array<bigint>"))
 
     own = items.select("item_id", normal(F.col("text")).alias("item")).where("item <> ''").withColumn("words", F.split("item", " "))
     pieces = []
     for n, part in ((size, own.where(F.size("words") >= size)), (1, own.where(F.size("words") < size))):
         keys = part.select("item_id", "item", F.explode(F.array_distinct(runs(F.col("words"), n))).alias("run"))
         rows = docs.select("doc_id", normal(F.col("text")).alias("form")).where("form <> ''")
-        places = rows.select("doc_id", F.explode(F.array_distinct(runs(F.split("form", " "), n))).alias("run"))
+        places = rows.select("doc_id", F.split("form", " ").alias("words")).select("doc_id", F.explode(F.array_distinct(runs(F.col("words"), n))).alias("run"))
         found = places.join(F.broadcast(keys.select("run").distinct()), "run")
         counts = found.groupBy("run").agg(F.count("*").alias("df"))
         rarest = best_per_key(keys.join(counts, "run"), ["item_id", "item"], [F.asc("df"), F.asc("run")])
