@@ -115,10 +115,10 @@ bm AS (SELECT item_id AS query_id, doc_id, sum(idf * qtf * tf * 2.5 / (tf + 1.5
 
 def sets_sql(name: str, made: str) -> str:
     return f"""{name} AS (SELECT item_id AS query_id, doc_id, count(*) / any_value(size) AS {name} FROM
-  (SELECT item_id, len(g) AS size, unnest(g) AS g FROM (SELECT item_id, list_distinct({made}) AS g FROM benchmark)) JOIN (SELECT doc_id, unnest(list_distinct({made})) AS g FROM documents) USING (g) GROUP BY 1, 2)"""
+  (SELECT item_id, len(g) AS size, unnest(g) AS g FROM (SELECT item_id, list_distinct({made}) AS g FROM (SELECT *, {COMPACT} AS c FROM benchmark))) JOIN (SELECT doc_id, unnest(list_distinct({made})) AS g FROM (SELECT *, {COMPACT} AS c FROM documents)) USING (g) GROUP BY 1, 2)"""
 
 
-PAIRS = f"CASE WHEN length({COMPACT}) >= 2 THEN list_transform(range(1, length({COMPACT})), lambda i: substring({COMPACT}, i, 2)) WHEN {COMPACT} <> '' THEN [{COMPACT}] ELSE [] END"
+PAIRS = "CASE WHEN length(c) >= 2 THEN list_transform(range(1, length(c)), lambda i: substring(c, i, 2)) WHEN c <> '' THEN [c] ELSE [] END"
 TRIMMED = "regexp_replace(text, '^\\s+|\\s+$', '', 'g')"
 ORACLE_SQL = {
     "gram_tf": grams_sql("item_id AS query_id", "benchmark").replace("SELECT item_id AS query_id, gram", "SELECT query_id, gram").replace("SELECT item_id AS query_id, unnest", "SELECT query_id, unnest"),
