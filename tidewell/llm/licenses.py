@@ -32,19 +32,17 @@ TEMPLATES = {
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
 }
+#: Shingles of a window, each twice its step; the steps are multiples of the first's, ``STEP``.
 WIDTHS = (1, 8, 32)
+STEP = 4
 BANDS = 10
 
 
-def step(width: int) -> int:
-    return max(1, width // 2)
-
-
 def width_for(n: Column) -> Column:
     """The largest window of which a whole one lies in any ``n`` consecutive shingles, wherever the windows start."""
     out = F.lit(WIDTHS[0])
     for w in WIDTHS[1:]:
-        out = F.when(n >= w + step(w) - 1, w).otherwise(out)
+        out = F.when(n >= w + w // 2 - 1, w).otherwise(out)
     return out
 
 
@@ -55,13 +53,27 @@ def shingles(w: Column) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*(p(i) for p in parts)))).otherwise(F.array().cast("array<bigint>"))
 
 
-def minima(h: Column, width: int, band: int, every: int) -> Column:
-    """The least hash, under the band's own hash function, of each window of ``width`` shingles; one window if there are fewer."""
-    own = F.transform(h, lambda x: F.xxhash64(x, F.lit(band))) if width > 1 else h
-    if width == 1:
-        return own
-    starts = F.sequence(F.lit(1), F.greatest(F.size(h) - width + 1, F.lit(1)), F.lit(every))
-    return F.when(F.size(h) > 0, F.transform(starts, lambda i: F.array_min(F.slice(own, i, width)))).otherwise(F.array().cast("array<bigint>"))
+def block_minima(h: Column, band: int) -> Column:
+    """The least hash, under the band's own hash function, of each block of ``STEP`` shingles. ``h`` must be a plain column.
+
+    Elements are fetched by index, as a slice would copy the whole array; past the end the last one counts again.
+    """
+    last = F.size(h) - 1
+    starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(STEP))
+    return F.transform(starts, lambda i: F.least(*(F.xxhash64(F.get(h, F.least(i + k, last)), F.lit(band)) for k in range(STEP))))
+
+
+def halves(m: Column, width: int) -> Column:
+    """Minima of half windows from those of blocks. ``m`` must be a plain column."""
+    n = width // 2 // STEP
+    if n == 1:
+        return m
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(m) - 1, F.lit(0)), F.lit(n)), lambda i: F.least(*(F.get(m, i + k) for k in range(n))))
+
+
+def window_minima(half: Column) -> Column:
+    """Minima of windows of two half windows each; the last is one half alone. ``half`` must be a plain column."""
+    return F.zip_with(half, F.slice(half, F.lit(2), F.greatest(F.size(half) - 1, F.lit(0))), lambda a, b: F.least(a, b))
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -73,21 +85,16 @@ def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
 
 def band_table(templates: DataFrame) -> DataFrame:
     """``width, band, low, license``: minima of every window of every template, at all starts."""
-    parts = []
-    for w in WIDTHS:
-        for b in range(BANDS if w > 1 else 1):
-            own = templates.where(F.col("width") == w)
-            parts.append(own.select("width", F.lit(b).alias("band"), F.explode(minima(F.col("hashes"), w, b, 1)).alias("low"), "license"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    own = templates.withColumn("start", F.explode(F.sequence(F.lit(1), F.greatest(F.col("n") - F.col("width") + 1, F.lit(1)))))
+    own = own.withColumn("part", F.slice("hashes", F.col("start"), F.col("width"))).withColumn("band", F.explode(F.sequence(F.lit(0), F.lit(BANDS - 1))))
+    low = F.when(F.col("width") > 1, F.array_min(F.transform("part", lambda x: F.xxhash64(x, F.col("band"))))).otherwise(F.get("part", F.lit(0)))
+    return own.where("width > 1 or band = 0").select("width", "band", low.alias("low"), "license").distinct()
 
 
-def retrieved(h: Column, width: int, band: int, wanted: list[int]) -> Column:
-    """Windows (width, at, low) of which the band's minimum is one of the templates'."""
-    found = F.transform(minima(h, width, band, step(width)), lambda low, i: F.struct(F.lit(width).alias("width"), (i * step(width)).alias("at"), low.alias("low")))
-    return F.filter(found, lambda x: x["low"].isin(wanted))
+def hits_among(minima: Column, every: int, width: int, wanted: list[int]) -> Column:
+    """Windows (width, at, low) whose minimum is one of the templates'. ``minima`` must be a plain column."""
+    found = F.transform(minima, lambda low, i: F.struct(F.lit(width).alias("width"), (i * every).alias("at"), low.alias("low")))
+    return F.when(F.exists(minima, lambda x: x.isin(wanted)), F.filter(found, lambda x: x["low"].isin(wanted)))
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
@@ -96,35 +103,41 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     Each template is looked for with windows of the largest width in ``WIDTHS`` of which its text always holds a whole one.
     A window within an occurrence with Jaccard similarity 0.5 or more to the template's same window shares a
     minimum in one of ``BANDS`` bands of one row with probability 1 - 0.5^10 > 0.999; an unchanged one always does.
+    Windows overlap by half: each shingle is hashed once per band, for its block, and windows take the least of their blocks.
     The exact check counts the template's distinct shingles from one template length before the window to one after it; the
     best place counts (``word``: the window's first word; ties: the first). The table of templates is a parameter of
-    the call and part of the plan; documents are read once, without a shuffle.
+    the call and part of the plan; documents are read once, without a shuffle but for the few rows found.
 
     Null, empty or short texts have no shingles and no rows. Repeated rows give equal rows each. Other columns are ignored.
     """
     spark = docs.sparkSession
     known = template_table(spark, TEMPLATES if templates is None else templates)
+    wanted: dict[tuple[int, int], set[int]] = {}
     bands = band_table(known).collect()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w")).where(F.size("w") >= SHINGLE)
+    for r in bands:
+        wanted.setdefault((r["width"], r["band"]), set()).add(r["low"])
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
     rows = rows.select("doc_id", shingles(F.col("w")).alias("h"))
-    hits = []
-    for w in WIDTHS:
-        for b in range(BANDS if w > 1 else 1):
-            wanted = sorted({r["low"] for r in bands if (r["width"], r["band"]) == (w, b)})
-            if wanted:
-                hits.append(retrieved(F.col("h"), w, b, wanted))
-    if not hits:
+    if not wanted:
         return rows.where("false").select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("word"))
-    places = rows.select("doc_id", "h", F.array_distinct(F.flatten(F.array(*hits))).alias("hits")).where(F.size("hits") > 0)
+    wide = sorted(k for k in wanted if k[0] > 1)
+    # Each step is a column of its own: a lambda's inputs are worked out once per row, not once per element.
+    rows = rows.select("*", *(block_minima(F.col("h"), b).alias(f"m{b}") for b in sorted({b for _, b in wide})))
+    rows = rows.select("doc_id", "h", *(halves(F.col(f"m{b}"), w).alias(f"h{w}_{b}") for w, b in wide))
+    rows = rows.select("doc_id", "h", *(window_minima(F.col(f"h{w}_{b}")).alias(f"w{w}_{b}") for w, b in wide))
+    hits = [hits_among(F.col(f"w{w}_{b}"), w // 2, w, sorted(wanted[w, b])) for w, b in wide]
+    if (1, 0) in wanted:
+        hits.append(hits_among(F.col("h"), 1, 1, sorted(wanted[1, 0])))
     names = F.create_map(*(x for low, items in lookup(bands).items() for x in (F.lit(low), F.array(*map(F.lit, items)))))
     sets = F.create_map(*(x for r in known.collect() for x in (F.lit(r["license"]), F.array(*map(F.lit, r["hashes"])))))
-    near = places.select("doc_id", "h", F.explode("hits").alias("hit")).select("doc_id", "h", "hit.width", "hit.at", F.explode(F.element_at(names, F.col("hit.low"))).alias("license"))
+    # No filter on the hits: it would be pushed below these steps, with all of them written into it.
+    near = rows.select("doc_id", "h", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*hits))))).alias("hit")).select("doc_id", "h", "hit.width", "hit.at", F.explode(F.element_at(names, F.col("hit.low"))).alias("license"))
     near = near.withColumn("set", F.element_at(sets, F.col("license"))).withColumn("n", F.size("set"))
     first = F.greatest(F.col("at") - F.col("n"), F.lit(0))
     part = F.slice("h", first + 1, F.col("at") + F.col("width") + F.col("n") - first)
     scored = near.select("doc_id", F.xxhash64("h").alias("k"), "license", (F.size(F.array_intersect("set", part)) / F.col("n")).alias("containment"), F.col("at").cast("long").alias("word"))
-    best = scored.where(F.col("containment") >= least).groupBy("doc_id", "k", "license").agg(F.max(F.struct("containment", -F.col("word"))).alias("best"))
-    return best.select("doc_id", "license", "best.containment", (-F.col("best.col2")).alias("word"))
+    best = scored.where(F.col("containment") >= least).groupBy("doc_id", "k", "license").agg(F.max(F.struct("containment", (-F.col("word")).alias("minus"))).alias("best"))
+    return best.select("doc_id", "license", "best.containment", (-F.col("best.minus")).alias("word"))
 
 
 def lookup(bands: list) -> dict[int, list[str]]:
