@@ -79,7 +79,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, rare_terms
     found = phrases(items, size)
     places = candidates(base, found, rare_terms).join(small(found, F.size("terms") * 16 + F.size("items") * 16), "phrase")
     lists = written(places.groupBy("d", "k").agg(F.collect_list(F.struct("start", "terms", "items")).alias("hits")))
-    rows = keyed(base).join(small(lists, F.size("hits") * 256), ["d", "k"], "left")
+    # Lists grow with the documents, so this join is dealt by key at every size.
+    rows = keyed(base).join(lists.hint("merge"), ["d", "k"], "left")
     rows = rows.withColumn("n_words", F.size(raw_words(F.col("text"))).cast("long"))
     own = F.when(F.col("hits").isNotNull(), words(F.col("text")))
     rows = rows.withColumn("own", own).withColumn("hits", F.filter("hits", lambda h: F.slice("own", h["start"] + 1, F.size(h["terms"])) == h["terms"]))
