@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
-from tidewell.llm.shared import slices, text_bytes, written
+from tidewell.llm.shared import dealt, slices, text_bytes, written
 
 BATCH_BYTES = 1_000_000
 BANDS, ROWS = 24, 4
@@ -106,34 +106,42 @@ def banded(nodes: DataFrame) -> DataFrame:
 
     rows = written(nodes.select("node", "minima").mapInArrow(run, "bucket long, node long").distinct())
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return written(rows.join(shared, "bucket"))
+    return written(rows.join(dealt(shared), "bucket"))
 
 
 def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Every node of a bucket with two hubs: the bucket's node that shares most buckets' places, and one by hash.
+    """Every node of a bucket with the bucket's hub: its node that shares most buckets' places, the likely centre of a group of copies.
 
-    The first is the likely centre of a group of copies. Both orders are the same in all buckets, so that
-    a group's buckets mostly agree on their hubs and pairs repeat.
+    The order of nodes is the same in all buckets, so a group's buckets mostly agree on their hub and pairs repeat.
     """
     weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
-    ranked = buckets.join(weight, "node")
-    hubs = ranked.groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("a"), F.min_by("node", F.xxhash64("node")).alias("b"))
-    pairs = buckets.join(hubs, "bucket").select("node", F.explode(F.array_distinct(F.array("a", "b"))).alias("hub"))
-    return pairs.where("hub <> node").select(F.least("hub", "node").alias("x"), F.greatest("hub", "node").alias("y"), "hub").groupBy("x", "y").agg(F.min("hub").alias("hub")).select("hub", (F.col("x") + F.col("y") - F.col("hub")).alias("node"))
+    hubs = buckets.join(dealt(weight), "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
+    return buckets.join(dealt(hubs), "bucket").where("hub <> node").select("hub", "node").distinct()
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
-    """Pairs (hub, node) of which the share of equal minima is at least ``least``."""
-    a = nodes.select(F.col("node").alias("hub"), F.col("minima").alias("minima_a"))
-    both = pairs.join(nodes.select("node", F.col("minima").alias("minima_b")), "node").join(a, "hub")
+    """Pairs (hub, node) of which the share of equal minima is at least ``least``.
+
+    Only the low bytes of the minima travel: equal minima have equal low bytes, so no pair is lost, and the few that
+    agree by chance are checked on full sets like the others.
+    """
+
+    def low(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            minima = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32).reshape(-1, HASHES).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([x.tobytes() for x in minima], pa.binary())], ["node", "low"])
+
+    marks = written(nodes.select("node", "minima").mapInArrow(low, "node long, low binary"))
+    a = marks.select(F.col("node").alias("hub"), F.col("low").alias("low_a"))
+    both = pairs.join(dealt(marks.withColumnRenamed("low", "low_b")), "node").join(dealt(a), "hub")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint32).reshape(-1, HASHES) for c in ("minima_a", "minima_b"))
+            p, q = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, HASHES) for c in ("low_a", "low_b"))
             keep = pa.array((p == q).mean(axis=1) >= least)
             yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("node")], ["hub", "node"]).filter(keep)
 
-    return both.select("hub", "node", "minima_a", "minima_b").mapInArrow(run, "hub long, node long").distinct()
+    return both.select("hub", "node", "low_a", "low_b").mapInArrow(run, "hub long, node long").distinct()
 
 
 def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -144,11 +152,11 @@ def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     """
     pairs = written(pairs)
     ids = pairs.select("hub").union(pairs.select("node")).distinct().withColumnRenamed("hub", "doc_id")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(ids, "doc_id", "left_semi"))
+    texts = written(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(dealt(ids), "doc_id", "left_semi"))
     shares = pairs.groupBy("hub").agg(F.ceil(F.count("*") / 1000).cast("int").alias("shares"))
-    members = pairs.join(shares, "hub").select("hub", F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share"), F.lit(1).alias("role"), "node")
+    members = pairs.join(dealt(shares), "hub").select("hub", F.pmod(F.xxhash64("node"), "shares").cast("int").alias("share"), F.lit(1).alias("role"), "node")
     heads = shares.select("hub", F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.lit(0).alias("role"), F.col("hub").alias("node"))
-    rows = members.unionByName(heads).join(texts.withColumnRenamed("doc_id", "node"), "node")
+    rows = members.unionByName(heads).join(dealt(texts.withColumnRenamed("doc_id", "node")), "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub, own = None, []
@@ -167,8 +175,8 @@ def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
                         break
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    dealt = rows.repartition("hub", "share").sortWithinPartitions("hub", "share", "role")
-    return written(dealt.mapInArrow(run, "u long, v long"))
+    placed = rows.repartition("hub", "share").sortWithinPartitions("hub", "share", "role")
+    return written(placed.mapInArrow(run, "u long, v long"))
 
 
 def cross_pairs(buckets: DataFrame, nodes: DataFrame, least: float, block: int = 1024) -> DataFrame:
@@ -179,8 +187,8 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, least: float, block: int =
     """
     sizes = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    rows = buckets.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component").join(nodes.select("node", "minima"), "node")
+    rows = buckets.join(dealt(sizes), "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component").join(dealt(nodes.select("node", "minima")), "node")
 
     def pairs(group: list[dict]) -> Iterator[tuple[int, int]]:
         i, j = group[0]["i"], group[0]["j"]
@@ -211,8 +219,8 @@ def cross_pairs(buckets: DataFrame, nodes: DataFrame, least: float, block: int =
                 group.append(r)
         yield close()
 
-    dealt = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = dealt.select("bucket", "i", "j", "own", "node", "component", "minima").mapInArrow(run, "hub long, node long")
+    placed = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    found = placed.select("bucket", "i", "j", "own", "node", "component", "minima").mapInArrow(run, "hub long, node long")
     return found.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).where("hub <> node").distinct()
 
 
@@ -222,7 +230,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Words are split at ASCII white space after lower-casing A-Z; a set holds the distinct ``size``-word shingles.
     1. Minima under ``HASHES`` universal hashes; rows with equal sets become one node, its least doc_id.
     2. ``BANDS`` bands of ``ROWS`` minima give buckets: a pair at 0.8 shares none once in 300,000 times.
-    3. Each node is checked against two hubs of each of its buckets: first by equal minima, then on full sets.
+    3. Each node is checked against the hub of each of its buckets: first by equal minima, then on full sets.
     4. Components by large-star and small-star. Where a bucket still holds several components, pairs across them are
        compared in blocks and again checked on full sets, so no candidate pair within a bucket stays untested.
     5. Components again; each row gets the least doc_id reachable. ``kept``: the row has that doc_id.
@@ -237,13 +245,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     least = percent / 100 - SLACK
     links = linked(alike(hub_pairs(buckets), nodes, least), docs, size, percent)
     groups = written(components(links))
-    placed = buckets.select("bucket", "node").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = buckets.select("bucket", "node").join(dealt(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    rest = cross_pairs(placed.join(open_, "bucket", "left_semi"), nodes, least)
+    rest = cross_pairs(placed.join(dealt(open_), "bucket", "left_semi"), nodes, least)
     more = linked(rest, docs, size, percent)
     if not more.isEmpty():
         groups = components(links.unionByName(more))
-    of = classes.select("set_key", "node").join(groups, "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
+    of = classes.select("set_key", "node").join(dealt(groups), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
     lone = marked.where("set_key is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    rows = marked.where("set_key is not null").join(of, "set_key", "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
+    rows = marked.where("set_key is not null").join(dealt(of), "set_key", "left").select("doc_id", "n_shingles", F.col("component").alias("component_id"))
     return rows.unionByName(lone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
