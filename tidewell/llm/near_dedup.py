@@ -109,14 +109,28 @@ def banded(nodes: DataFrame) -> DataFrame:
     return written(rows.join(dealt(shared), "bucket"))
 
 
-def hub_pairs(buckets: DataFrame) -> DataFrame:
-    """Every node of a bucket with the bucket's hub: its node that shares most buckets' places, the likely centre of a group of copies.
+def hubs_of(placed: DataFrame) -> DataFrame:
+    """``bucket, node, component, weight, hub, hub_component, hub_weight``: each place (bucket, node, component, n) with its bucket's hub.
 
-    The order of nodes is the same in all buckets, so a group's buckets mostly agree on their hub and pairs repeat.
+    The hub is the node that shares most buckets' places, the likely centre of a group of copies. The order of nodes is the
+    same in all buckets, so a group's buckets mostly agree on their hub.
     """
-    weight = buckets.groupBy("node").agg(F.sum("n").alias("weight"))
-    hubs = buckets.join(dealt(weight), "node").groupBy("bucket").agg(F.max_by("node", F.struct("weight", "node")).alias("hub"))
-    return buckets.join(dealt(hubs), "bucket").where("hub <> node").select("hub", "node").distinct()
+    weight = placed.groupBy("node").agg(F.sum("n").alias("weight"))
+    rows = placed.join(dealt(weight), "node")
+    best = rows.groupBy("bucket").agg(F.max(F.struct("weight", "node", "component")).alias("top"))
+    hubs = best.select("bucket", F.col("top.node").alias("hub"), F.col("top.component").alias("hub_component"), F.col("top.weight").alias("hub_weight"))
+    return rows.join(dealt(hubs), "bucket")
+
+
+def first_pairs(buckets: DataFrame) -> DataFrame:
+    """Each node with the heaviest of its buckets' hubs: a pair per node."""
+    best = hubs_of(buckets.withColumn("component", F.col("node"))).groupBy("node").agg(F.max(F.struct("hub_weight", "hub")).alias("top"))
+    return best.select("top.hub", "node").where("hub <> node")
+
+
+def further_pairs(placed: DataFrame) -> DataFrame:
+    """Each node with those hubs of its buckets that are in another component by now."""
+    return hubs_of(placed).where("component <> hub_component").select("hub", "node").distinct()
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -230,7 +244,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Words are split at ASCII white space after lower-casing A-Z; a set holds the distinct ``size``-word shingles.
     1. Minima under ``HASHES`` universal hashes; rows with equal sets become one node, its least doc_id.
     2. ``BANDS`` bands of ``ROWS`` minima give buckets: a pair at 0.8 shares none once in 300,000 times.
-    3. Each node is checked against the hub of each of its buckets: first by equal minima, then on full sets.
+    3. Each node is checked against the heaviest hub of its buckets, then against the hubs that are in another component
+       by then: first by equal minima, then on full sets.
     4. Components by large-star and small-star. Where a bucket still holds several components, pairs across them are
        compared in blocks and again checked on full sets, so no candidate pair within a bucket stays untested.
     5. Components again; each row gets the least doc_id reachable. ``kept``: the row has that doc_id.
@@ -243,11 +258,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     nodes = classes.where("node is not null").select("node", "minima")
     buckets = banded(nodes)
     least = percent / 100 - SLACK
-    links = linked(alike(hub_pairs(buckets), nodes, least), docs, size, percent)
+    links = linked(alike(first_pairs(buckets), nodes, least), docs, size, percent)
+
+    def located(groups: DataFrame) -> DataFrame:
+        return buckets.select("bucket", "node", "n").join(dealt(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    more = linked(alike(further_pairs(located(written(components(links)))), nodes, least), docs, size, percent)
+    links = links.unionByName(more)
     groups = written(components(links))
-    placed = buckets.select("bucket", "node").join(dealt(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = located(groups)
     open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    rest = cross_pairs(placed.join(dealt(open_), "bucket", "left_semi"), nodes, least)
+    rest = cross_pairs(placed.drop("n").join(dealt(open_), "bucket", "left_semi"), nodes, least)
     more = linked(rest, docs, size, percent)
     if not more.isEmpty():
         groups = components(links.unionByName(more))
