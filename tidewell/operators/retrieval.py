@@ -190,7 +190,7 @@ def document_blend(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFra
 
     Gram overlap with text and title, the share of the query's phrases in the text, and scaled BM25.
     """
-    lexical = scaled(bm25(chunks.withColumnRenamed("chunk_id", "doc_id"), queries), "bm25").withColumnRenamed("doc_id", "chunk_id")
+    lexical = scaled(bm25(chunks.select(F.col("chunk_id").alias("doc_id"), "text"), queries), "bm25").withColumnRenamed("doc_id", "chunk_id")
     phrases = F.array_distinct(F.regexp_extract_all(F.lower("qtext"), F.lit("([가-힣]{2,}|[a-z0-9_.:/-]{3,})"), F.lit(1)))
     q = with_gram_set(queries.select("query_id", F.col("text").alias("qtext")), F.col("qtext"), "qg")
     q = with_gram_set(q, F.array_join(F.slice(tokens(F.col("qtext")), 1, 12), " "), "tg").select("query_id", "qg", "tg", phrases.alias("phrases"))
