@@ -194,14 +194,14 @@ def document_blend(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFra
     phrases = F.array_distinct(F.regexp_extract_all(F.lower("qtext"), F.lit("([가-힣]{2,}|[a-z0-9_.:/-]{3,})"), F.lit(1)))
     q = with_gram_set(queries.select("query_id", F.col("text").alias("qtext")), F.col("qtext"), "qg")
     q = with_gram_set(q, F.array_join(F.slice(tokens(F.col("qtext")), 1, 12), " "), "tg").select("query_id", "qg", "tg", phrases.alias("phrases"))
-    own = with_gram_set(with_gram_set(chunks, F.col("text"), "own"), F.col("title"), "own_title")
+    own = with_gram_set(with_gram_set(chunks, F.col("text"), "own"), F.col("title"), "own_title").select("chunk_id", "weight", "own", "own_title", F.lower("text").alias("low"))
     pairs = lexical.join(own, "chunk_id").join(small(q), "query_id")
-    low = F.lower("text")
-    hits = F.when(F.size("phrases") > 0, F.size(F.filter("phrases", lambda p: F.contains(low, p))) / F.size("phrases")).otherwise(0.0)
+    hits = F.when(F.size("phrases") > 0, F.size(F.filter("phrases", lambda p: F.contains("low", p))) / F.size("phrases")).otherwise(0.0)
     score = chunk_score(F.col("bm25"), overlap(F.col("qg"), F.col("own")), overlap(F.col("tg"), F.col("own_title")), hits, F.lit(0.0), F.col("weight"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
-    rows = pairs.select("query_id", "chunk_id", F.round(score, 6).alias("score")).where("score > 0")
-    return rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
+    rows = pairs.select("query_id", "chunk_id", F.round(score, 6).alias("score")).withColumn("place", F.row_number().over(order))
+    # Tested after the ranking: before it, Spark would work the score out twice.
+    return rows.where((F.col("place") <= k) & (F.col("score") > 0))
 
 
 def example_block(hits: DataFrame, texts: DataFrame) -> DataFrame:
