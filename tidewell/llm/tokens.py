@@ -37,7 +37,8 @@ class Encoder:
 
     Neither tokenizer kind merges across the start of a blank-separated segment, so a text's ids are its
     segments' ids in turn. ``keeps_space``: a byte-level tokenizer, whose segments keep the leading blank.
-    Texts in which white space runs make that unsure go to the library whole. A new segment that ends in a letter
+    Texts in which white space runs make that unsure go to the library whole, as do those that hold one of the file's
+    added tokens (``<|endoftext|>``), which the library finds before it splits. A new segment that ends in a letter
     and a mark is put together from its stem and the mark, as letters and marks never share a token.
     """
 
@@ -46,7 +47,9 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
+        added = sorted((re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
+        #: Whatever the case: a file may have tokens that are looked for in the lowered text.
+        self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
         #: Ids are held in 2 bytes where the vocabulary allows it.
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.keeps_space = keeps_space
@@ -62,7 +65,7 @@ class Encoder:
         return array(self.kind.char, [t.id for t in self.library.model.tokenize(shown)]).tobytes()
 
     def segments(self, text: str) -> list[str] | None:
-        if OTHER_SPACE.search(text):
+        if OTHER_SPACE.search(text) or self.added.search(text):
             return None
         if not self.keeps_space:
             return text.split()
