@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidewell.llm.native_text import words
 
 SHINGLE = 5
-# Notices by which licenses are named.
+# Notices by which licenses are named, and passages of their usual texts and headers.
 TEMPLATES = {
     "MIT": "Released under the MIT License.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
@@ -31,7 +31,88 @@ TEMPLATES = {
     "BSD-text": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
     ),
+    "MIT-terms-text": (
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, '
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY"
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above "
+        'copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE'
+    ),
+    "BSD-2-Clause-text": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution."
+    ),
+    "BSD-3-Clause-text": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+        "without specific prior written permission."
+    ),
+    "GPL-2.0-text": (
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by "
+        "the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    ),
+    "LGPL-2.1-text": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+    ),
+    "LGPL-3.0-text": (
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "AGPL-3.0-text": (
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by "
+        "the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+    ),
+    "MPL-2.0-text": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, "
+        "You can obtain one at https://mozilla.org/MPL/2.0/."
+    ),
+    "EPL-2.0-text": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at "
+        "https://www.eclipse.org/legal/epl-2.0/"
+    ),
+    "CC-BY-4.0-text": (
+        "This work is licensed under the Creative Commons Attribution 4.0 International License. To view a copy of this license, visit "
+        "http://creativecommons.org/licenses/by/4.0/"
+    ),
+    "CC-BY-SA-4.0-text": (
+        "This work is licensed under the Creative Commons Attribution-ShareAlike 4.0 International License. To view a copy of this license, visit "
+        "http://creativecommons.org/licenses/by-sa/4.0/"
+    ),
+    "CC-BY-NC-4.0-text": (
+        "This work is licensed under the Creative Commons Attribution-NonCommercial 4.0 International License. To view a copy of this license, visit "
+        "http://creativecommons.org/licenses/by-nc/4.0/"
+    ),
+    "CC0-1.0-text": (
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain "
+        "worldwide. This software is distributed without any warranty."
+    ),
+    "Unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute "
+        "this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
 }
+# Further wordings of one line, by license; the template's name is the license's with the wording's number.
+NOTICES = {
+    "MIT": ["licensed under the MIT License", "distributed under the MIT License", "available under the MIT License", "licensed under the terms of the MIT license"],
+    "Apache-2.0": ["licensed under the Apache License 2.0", "licensed under the Apache-2.0 license", "released under the Apache License, Version 2.0", "SPDX-License-Identifier: Apache-2.0"],
+    "GPL-3.0": ["licensed under the GNU GPL v3", "licensed under the GNU General Public License v3.0", "SPDX-License-Identifier: GPL-3.0-or-later"],
+    "GPL-2.0": ["licensed under the GNU GPL v2", "licensed under the GNU General Public License v2.0", "licensed under the GNU General Public License, version 2"],
+    "LGPL": ["licensed under the GNU Lesser General Public License"],
+    "AGPL": ["licensed under the GNU Affero General Public License"],
+    "MPL-2.0": ["under the Mozilla Public License 2.0", "under the Mozilla Public License, Version 2.0"],
+    "EPL": ["under the Eclipse Public License"],
+    "BSD": ["licensed under the BSD License", "released under the BSD License", "licensed under the BSD 3-Clause License", "licensed under the BSD 2-Clause License"],
+    "ISC": ["licensed under the ISC License", "released under the ISC License"],
+    "CC-BY-4.0": ["licensed under CC BY 4.0", "licensed under a Creative Commons Attribution 4.0 International License"],
+    "CC-BY-SA-4.0": ["licensed under CC BY-SA 4.0", "licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
+    "CC-BY-NC-4.0": ["licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"],
+    "CC0-1.0": ["dedicated to the public domain under CC0", "released under CC0 1.0 Universal", "licensed under CC0 1.0 Universal"],
+    "Unlicense": ["released under the Unlicense License", "released into the public domain under the Unlicense"],
+}
+TEMPLATES |= {f"{name}-notice-{k}-text": x for name, wordings in NOTICES.items() for k, x in enumerate(wordings, 1)}
 #: Shingles of a window, each twice its step; the steps are multiples of the first's, ``STEP``.
 WIDTHS = (1, 8, 32)
 STEP = 4
@@ -91,15 +172,20 @@ def band_table(templates: DataFrame) -> DataFrame:
     return own.where("width > 1 or band = 0").select("width", "band", low.alias("low"), "license").distinct()
 
 
-def hits_among(minima: Column, every: int, width: int, wanted: list[int]) -> Column:
-    """Windows (width, at, low) whose minimum is one of the templates'. ``minima`` must be a plain column."""
-    found = F.transform(minima, lambda low, i: F.struct(F.lit(width).alias("width"), (i * every).alias("at"), low.alias("low")))
-    return F.when(F.exists(minima, lambda x: x.isin(wanted)), F.filter(found, lambda x: x["low"].isin(wanted)))
+def hits_among(minima: str, every: int, width: int, wanted: list[int]) -> Column:
+    """Windows (width, at, low) whose minimum is one of the templates'. ``minima`` names a column.
+
+    The values are given as SQL text: thousands of literals one by one take the driver seconds.
+    """
+    listed = ", ".join(f"bigint('{x}')" for x in wanted)
+    found = f"transform({minima}, (low, i) -> struct({width} as width, i * {every} as at, low as low))"
+    return F.expr(f"case when exists({minima}, x -> x in ({listed})) then filter({found}, x -> x.low in ({listed})) end")
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """``doc_id, license, containment, word``: templates of which a document holds at least ``least`` of the shingles in one place.
 
+    Templates of fewer than 11 shingles, such as one-line notices, have a width of 1: they are found by equal shingles, without bands.
     Each template is looked for with windows of the largest width in ``WIDTHS`` of which its text always holds a whole one.
     A window within an occurrence with Jaccard similarity 0.5 or more to the template's same window shares a
     minimum in one of ``BANDS`` bands of one row with probability 1 - 0.5^10 > 0.999; an unchanged one always does.
@@ -125,19 +211,27 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     rows = rows.select("*", *(block_minima(F.col("h"), b).alias(f"m{b}") for b in sorted({b for _, b in wide})))
     rows = rows.select("doc_id", "h", *(halves(F.col(f"m{b}"), w).alias(f"h{w}_{b}") for w, b in wide))
     rows = rows.select("doc_id", "h", *(window_minima(F.col(f"h{w}_{b}")).alias(f"w{w}_{b}") for w, b in wide))
-    hits = [hits_among(F.col(f"w{w}_{b}"), w // 2, w, sorted(wanted[w, b])) for w, b in wide]
+    hits = [hits_among(f"w{w}_{b}", w // 2, w, sorted(wanted[w, b])) for w, b in wide]
     if (1, 0) in wanted:
-        hits.append(hits_among(F.col("h"), 1, 1, sorted(wanted[1, 0])))
-    names = F.create_map(*(x for low, items in lookup(bands).items() for x in (F.lit(low), F.array(*map(F.lit, items)))))
-    sets = F.create_map(*(x for r in known.collect() for x in (F.lit(r["license"]), F.array(*map(F.lit, r["hashes"])))))
+        hits.append(hits_among("h", 1, 1, sorted(wanted[1, 0])))
+    names = F.expr("map(" + ", ".join(f"bigint('{low}'), array({', '.join(map(quoted, items))})" for low, items in lookup(bands).items()) + ")")
+    sets = F.expr("map(" + ", ".join(f"{quoted(r['license'])}, array({', '.join(f'''bigint('{x}')''' for x in r['hashes'])})" for r in known.collect()) + ")")
     # No filter on the hits: it would be pushed below these steps, with all of them written into it.
-    near = rows.select("doc_id", "h", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*hits))))).alias("hit")).select("doc_id", "h", "hit.width", "hit.at", F.explode(F.element_at(names, F.col("hit.low"))).alias("license"))
+    near = rows.select("doc_id", "h", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*hits))))).alias("hit")).select("doc_id", "h", "hit", "hit.width", "hit.at", F.explode(F.element_at(names, F.col("hit.low"))).alias("license"))
     near = near.withColumn("set", F.element_at(sets, F.col("license"))).withColumn("n", F.size("set"))
     first = F.greatest(F.col("at") - F.col("n"), F.lit(0))
     part = F.slice("h", first + 1, F.col("at") + F.col("width") + F.col("n") - first)
-    scored = near.select("doc_id", F.xxhash64("h").alias("k"), "license", (F.size(F.array_intersect("set", part)) / F.col("n")).alias("containment"), F.col("at").cast("long").alias("word"))
-    best = scored.where(F.col("containment") >= least).groupBy("doc_id", "k", "license").agg(F.max(F.struct("containment", (-F.col("word")).alias("minus"))).alias("best"))
-    return best.select("doc_id", "license", "best.containment", (-F.col("best.minus")).alias("word"))
+    scored = near.select("doc_id", F.xxhash64("h").alias("k"), "license", (F.size(F.array_intersect("set", part)) / F.col("n")).alias("containment"), F.col("at").cast("long").alias("word"), "hit")
+    # Each copy of a row gives each of its hits once.
+    best = scored.where(F.col("containment") >= least).groupBy("doc_id", "k", "license").agg(
+        F.max(F.struct("containment", (-F.col("word")).alias("minus"))).alias("best"), (F.count("*") / F.size(F.collect_set("hit"))).cast("int").alias("copies")
+    )
+    return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "license", "best.containment", (-F.col("best.minus")).alias("word"))
+
+
+def quoted(text: str) -> str:
+    """A SQL literal of the text, whatever it holds."""
+    return f"decode(X'{text.encode().hex()}', 'UTF-8')"
 
 
 def lookup(bands: list) -> dict[int, list[str]]:
