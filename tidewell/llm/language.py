@@ -12,33 +12,51 @@ from pyspark.sql import functions as F
 from tidewell.llm.shared import slices, text_bytes
 
 CLASSES = 64
+#: Digits of spelled letters.
+BASE = CLASSES // 2
 BLOCK = 2048
 BATCH_BYTES = 4_000_000
 UNKNOWN = "und"
 
 
-def letters(text: str, place: dict[str, int]) -> np.ndarray:
-    """The text as letter classes: 0 between words, runs of it joined; a letter without a class is ``CLASSES - 1``."""
+def letters(text: str, place: dict) -> np.ndarray:
+    """The text as letter classes: 0 between words, runs of it joined; a letter without a class is as ``class_table`` says."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    table = place["table"]
+    table, digits = place["table"], place["digits"]
     codes = table[np.minimum(points, len(table) - 1)]
     keep = np.ones(len(codes), bool)
     keep[1:] = (codes[1:] != 0) | (codes[:-1] != 0)
-    return codes[keep]
-
-
-def class_table(samples: list[str]) -> np.ndarray:
-    """Classes of code points: the most frequent letters of the samples one each, other letters share the last."""
+    codes = codes[keep]
+    if digits:
+        spelled = codes >= CLASSES
+        sizes = np.where(spelled, digits, 1)
+        at, rank = (np.cumsum(sizes) - sizes)[spelled], codes[spelled] - CLASSES
+        codes = np.repeat(codes, sizes)
+        for k in range(digits):
+            codes[at + k] = BASE + (rank // BASE ** (digits - 1 - k)) % BASE
+    return codes.astype(np.uint8)
+
+
+def class_table(samples: list[str]) -> tuple[np.ndarray, int]:
+    """Classes of code points, and the digits of letters without a class of their own; 0 if there are none.
+
+    Up to 62 letters: one class each, and letters that the samples lack share the last. Beyond, the most frequent 31 have one each
+    and every other letter is spelled as so many digits of base 32, classes 32 to 63, so that no two letters of the
+    samples look alike in any script; letters that the samples lack share one spelling. Spelled letters have ``CLASSES`` plus a number in the table.
+    """
     points = np.frombuffer("".join(samples).lower().encode("utf-32-le", "surrogatepass"), np.uint32)
     found, n = np.unique(points, return_counts=True)
-    order = np.lexsort((found, -n))
-    table = np.array([CLASSES - 1 if chr(p).isalpha() and not 0xD800 <= p < 0xE000 else 0 for p in range(0x30000)] + [0], np.uint8)
-    free = 1
-    for p in found[order]:
-        if free < CLASSES - 1 and p < 0x30000 and chr(p).isalpha():
-            table[p] = free
-            free += 1
-    return table
+    own = [p for p in found[np.lexsort((found, -n))] if p < 0x30000 and chr(p).isalpha()]
+    fits = len(own) <= CLASSES - 2
+    single, others = (own, []) if fits else (own[: BASE - 1], own[BASE - 1 :])
+    last = CLASSES - 1 if fits else CLASSES + len(others)
+    table = np.array([last if chr(p).isalpha() and not 0xD800 <= p < 0xE000 else 0 for p in range(0x30000)] + [0], np.int32)
+    table[single] = np.arange(1, len(single) + 1)
+    table[others] = CLASSES + np.arange(len(others))
+    digits = 0
+    while not fits and BASE**digits <= len(others):
+        digits += 1
+    return table, digits
 
 
 def automaton(codes: np.ndarray) -> list[dict[int, int]]:
@@ -131,7 +149,8 @@ class Model:
 
     def __init__(self, samples: dict[str, str]):
         self.names = sorted(samples)
-        self.place = {"table": class_table([samples[x] for x in self.names])}
+        table, digits = class_table([samples[x] for x in self.names])
+        self.place = {"table": table, "digits": digits}
         codes = [letters(samples[x], self.place) for x in self.names]
         self.bits = np.log2(np.array([max(2, len(c)) for c in codes]))
         self.table, self.roots = transitions(codes) if codes else (np.zeros(CLASSES, np.int32), np.zeros(0, np.int32))
@@ -156,13 +175,17 @@ def learn(labelled: DataFrame, most_chars: int = 30_000, most_rows: int = 200, r
     """A model from rows with ``text`` and non-null ``lang``.
 
     The sample is bounded: of each language at most ``most_rows`` whole texts of at most ``row_chars`` characters, the first
-    by a hash of the text, as far as ``most_chars`` characters go. Only that sample reaches the driver.
+    by a hash of the text, as far as ``most_chars`` characters go; what is missing then comes from the first ``row_chars``
+    characters of longer texts. Only that sample reaches the driver.
     """
-    rows = labelled.where(F.col("lang").isNotNull() & F.length("text").between(1, row_chars)).select("lang", "text")
-    turn = Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    picked = rows.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most_rows).collect()
+    size = F.length("text")
+    rows = labelled.where(F.col("lang").isNotNull() & (size > 0))
+    rows = rows.select("lang", (size > row_chars).cast("int").alias("long"), F.xxhash64("text").alias("h"), F.substring("text", 1, row_chars).alias("text"))
+    turn = Window.partitionBy("lang", "long").orderBy("h", "text")
+    parts = -(-most_chars // row_chars)
+    picked = rows.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most_rows).where((F.col("long") == 0) | (F.col("turn") <= parts)).collect()
     samples: dict[str, str] = {}
-    for r in sorted(picked, key=lambda r: (r["lang"], r["turn"])):
+    for r in sorted(picked, key=lambda r: (r["lang"], r["long"], r["turn"])):
         have = samples.setdefault(r["lang"], "")
         if len(have) < most_chars:
             samples[r["lang"]] = f"{have} {r['text']}"[:most_chars]
