@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import dot, each, overlap, tokens, unit, with_gram_set, with_hashed_grams, with_padded_grams
+from tidewell.functions.text import dot, each, tokens, unit, with_gram_set, with_hashed_grams, with_padded_grams
 
 #: Rows up to which the query side of a join is broadcast; beyond, it is dealt by key.
 BROADCAST_ROWS = 200_000
@@ -185,25 +185,64 @@ def chunk_score(bm25_: Column, text_overlap: Column, title_overlap: Column, phra
     return weight * (0.46 * bm25_ + 0.28 * text_overlap + 0.14 * title_overlap + 0.12 * phrases + bonus)
 
 
+def shared_pairs(own: DataFrame, q: DataFrame) -> DataFrame:
+    """``chunk_id, query_id, n``: how many distinct elements ``g`` a chunk and a query share; pairs that share none are left out."""
+    by_gram = small(q.select("query_id", each("g").alias("g")).groupBy("g").agg(F.collect_list("query_id").alias("qs")))
+    pairs = own.select("chunk_id", each("g").alias("g")).join(by_gram, "g").select("chunk_id", F.explode("qs").alias("query_id"))
+    return pairs.groupBy("chunk_id", "query_id").agg(F.count("*").alias("n"))
+
+
 def document_blend(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFrame:
-    """``query_id, chunk_id, score, place`` of ``chunks`` (chunk_id, title, text, weight) that share a token with the query.
+    """``query_id, chunk_id, score, place`` of all ``chunks`` (chunk_id, title, text, weight) with a score above 0.
 
-    Gram overlap with text and title, the share of the query's phrases in the text, and scaled BM25.
+    Gram overlap with text and title, the share of the query's phrases in the text, and scaled BM25. A pair scores if it shares a
+    token, a gram of the text or one of the title. A phrase found in the text has two characters at least and no blank,
+    so it shares a gram too: grams and title grams give all pairs.
     """
     lexical = scaled(bm25(chunks.select(F.col("chunk_id").alias("doc_id"), "text"), queries), "bm25").withColumnRenamed("doc_id", "chunk_id")
     phrases = F.array_distinct(F.regexp_extract_all(F.lower("qtext"), F.lit("([가-힣]{2,}|[a-z0-9_.:/-]{3,})"), F.lit(1)))
     q = with_gram_set(queries.select("query_id", F.col("text").alias("qtext")), F.col("qtext"), "qg")
     q = with_gram_set(q, F.array_join(F.slice(tokens(F.col("qtext")), 1, 12), " "), "tg").select("query_id", "qg", "tg", phrases.alias("phrases"))
-    own = with_gram_set(with_gram_set(chunks, F.col("text"), "own"), F.col("title"), "own_title").select("chunk_id", "weight", "own", "own_title", F.lower("text").alias("low"))
-    pairs = lexical.join(own, "chunk_id").join(small(q), "query_id")
+    own = with_gram_set(chunks.select("chunk_id", "text"), F.col("text"), "g")
+    titles = with_gram_set(chunks.select("chunk_id", "title"), F.col("title"), "g")
+    keys = ["chunk_id", "query_id"]
+    in_text = shared_pairs(own, q.select("query_id", F.col("qg").alias("g"))).withColumnRenamed("n", "in_text")
+    in_title = shared_pairs(titles, q.select("query_id", F.col("tg").alias("g"))).withColumnRenamed("n", "in_title")
+    pairs = in_text.join(in_title, keys, "full").join(lexical, keys, "full").na.fill(0, ["in_text", "in_title", "bm25"])
+    sizes = q.select("query_id", F.size("qg").alias("n_qg"), F.size("tg").alias("n_tg"), "phrases")
+    pairs = pairs.join(chunks.select("chunk_id", "weight", F.lower("text").alias("low")), "chunk_id").join(small(sizes), "query_id")
     hits = F.when(F.size("phrases") > 0, F.size(F.filter("phrases", lambda p: F.contains("low", p))) / F.size("phrases")).otherwise(0.0)
-    score = chunk_score(F.col("bm25"), overlap(F.col("qg"), F.col("own")), overlap(F.col("tg"), F.col("own_title")), hits, F.lit(0.0), F.col("weight"))
+    share = lambda n, size: F.when(F.col(size) > 0, F.col(n) / F.col(size)).otherwise(0.0)
+    score = chunk_score(F.col("bm25"), share("in_text", "n_qg"), share("in_title", "n_tg"), hits, F.lit(0.0), F.col("weight"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("chunk_id"))
     rows = pairs.select("query_id", "chunk_id", F.round(score, 6).alias("score")).withColumn("place", F.row_number().over(order))
     # Tested after the ranking: before it, Spark would work the score out twice.
     return rows.where((F.col("place") <= k) & (F.col("score") > 0))
 
 
+def with_vector_hits(kept: DataFrame, vectors: DataFrame, most: int = 2, min_score: float = 0.55, most_chars: int = 6000) -> DataFrame:
+    """``kept`` (query_id, chunk_id, score, length, place), then the best of ``vectors`` (the same columns) that it lacks.
+
+    In turn, each query's vector hits of ``min_score`` or more are added until ``most`` are in; one that would bring the characters
+    above ``most_chars`` is passed over. Of few hits per query, so the turns are worked out in one array each.
+    """
+    kept = kept.select("query_id", "chunk_id", "score", "length", "place")
+    new = vectors.where(F.col("score") >= min_score).join(kept.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    have = kept.groupBy("query_id").agg(F.sum("length").cast("long").alias("chars"), F.max("place").cast("int").alias("last"))
+    hits = new.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", "chunk_id", "score", F.col("length").cast("long").alias("length")))).alias("hits"))
+    hits = hits.join(have, "query_id", "left").na.fill(0, ["chars", "last"])
+    none = F.filter("hits", lambda h: F.lit(False))
+    start = F.struct(F.col("chars").alias("chars"), none.alias("took"))
+
+    def turn(state: Column, h: Column) -> Column:
+        fits = (F.size(state["took"]) < most) & (state["chars"] + h["length"] <= most_chars)
+        return F.when(fits, F.struct((state["chars"] + h["length"]).alias("chars"), F.concat(state["took"], F.array(h)).alias("took"))).otherwise(state)
+
+    took = hits.select("query_id", "last", F.aggregate("hits", start, turn)["took"].alias("took")).select("query_id", "last", F.posexplode("took").alias("at", "h"))
+    added = took.select("query_id", "h.chunk_id", "h.score", "h.length", (F.col("last") + F.col("at") + 1).alias("place"))
+    return kept.withColumn("length", F.col("length").cast("long")).unionByName(added)
+
+
 def example_block(hits: DataFrame, texts: DataFrame) -> DataFrame:
     """``query_id, block``: one line per hit, best first: the text in quotes, an arrow and the answer."""
     line = F.concat(F.lit('"'), "text", F.lit('" -> '), "answer")

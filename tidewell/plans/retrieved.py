@@ -65,8 +65,10 @@ def fusion_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = items(spark, sf_dir)
     longer = q.withColumn("text", F.concat("text", F.lit(" data model")))
     hits = retrieval.fused([(retrieval.document_blend(parts, q), 1.0), (retrieval.document_blend(parts, longer), 0.42)])
-    both = hits.join(parts.select("chunk_id", F.col("doc_id").alias("source"), F.length("text").alias("length")), "chunk_id")
-    return retrieval.context(both).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "place")
+    sizes = parts.select("chunk_id", F.col("doc_id").alias("source"), F.length("text").alias("length"))
+    kept = retrieval.context(hits.join(sizes, "chunk_id"))
+    near = retrieval.hash_topk(parts.select(F.col("chunk_id").alias("doc_id"), "text"), q, 4, 0.42).withColumnRenamed("doc_id", "chunk_id")
+    return retrieval.with_vector_hits(kept, near.join(sizes.drop("source"), "chunk_id")).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "place")
 
 
 def example_block(spark: SparkSession, sf_dir: str) -> DataFrame:
