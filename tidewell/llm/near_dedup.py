@@ -92,15 +92,21 @@ def signed(docs: DataFrame, size: int) -> DataFrame:
     return written(rows.mapInArrow(run, "doc_id long, n_shingles long, set_key string, minima binary"))
 
 
+def band_keys(minima: np.ndarray) -> np.ndarray:
+    """A 64-bit key per row and band."""
+    parts = minima.reshape(-1, BANDS, ROWS)
+    key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), parts.shape[:2]).copy()
+    for k in range(ROWS):
+        key = mixed(key * STEP + parts[:, :, k])
+    return key
+
+
 def banded(nodes: DataFrame) -> DataFrame:
     """``bucket, node``: one row per band of each node's minima, in buckets that hold two nodes or more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            minima = np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32).reshape(-1, BANDS, ROWS)
-            key = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), minima.shape[:2]).copy()
-            for k in range(ROWS):
-                key = mixed(key * STEP + minima[:, :, k])
+            key = band_keys(np.frombuffer(b"".join(batch.column("minima").to_pylist()), np.uint32).reshape(-1, HASHES))
             node = np.repeat(batch.column("node").to_numpy(), BANDS)
             yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(node, pa.int64())], ["bucket", "node"])
 
@@ -128,9 +134,11 @@ def first_pairs(buckets: DataFrame) -> DataFrame:
     return best.select("top.hub", "node").where("hub <> node")
 
 
-def further_pairs(placed: DataFrame) -> DataFrame:
-    """Each node with those hubs of its buckets that are in another component by now."""
-    return hubs_of(placed).where("component <> hub_component").select("hub", "node").distinct()
+def further_pairs(placed: DataFrame, most: int = 2) -> DataFrame:
+    """Each node with ``most`` of its buckets' hubs that are in another component by now: those it shares most buckets with."""
+    other = hubs_of(placed).where("component <> hub_component").groupBy("node", "hub").agg(F.count("*").alias("shared"), F.first("hub_weight").alias("hub_weight"))
+    best = F.slice(F.sort_array(F.collect_list(F.struct("shared", "hub_weight", "hub")), asc=False), 1, most)
+    return other.groupBy("node").agg(best.alias("best")).select(F.explode("best.hub").alias("hub"), "node")
 
 
 def alike(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -193,49 +201,138 @@ def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
     return written(placed.mapInArrow(run, "u long, v long"))
 
 
-def cross_pairs(buckets: DataFrame, nodes: DataFrame, least: float, block: int = 1024) -> DataFrame:
-    """Pairs within a bucket, of different components, with enough equal minima: the exact way for what hubs miss.
+def facing(placed: DataFrame, left: int, right: int) -> DataFrame:
+    """``bucket, i, j, role, node, component, minor``: the places of every bucket with several components, set against each other in blocks.
 
-    Buckets (bucket, node, component) are cut into blocks of about ``block`` nodes and every two blocks of a bucket
-    meet in one group of bounded size; minima are compared as arrays, and only pairs that pass become rows.
+    A bucket's nodes outside its largest component (``minor``) are cut into blocks i of about ``left`` nodes, role 0; all its nodes into
+    blocks j of about ``right`` nodes, role 1. Every block i meets every block j, so every pair of nodes of different
+    components meets, while a node of the largest component travels once per ``left`` minor nodes and not once per node.
+    """
+    parts = placed.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    sizes = parts.groupBy("bucket").agg(F.max(F.struct("n", "component")).alias("top"), F.count("*").alias("parts"), F.sum("n").alias("n")).where("parts > 1")
+    blocks = sizes.select("bucket", F.col("top.component").alias("major"), F.ceil((F.col("n") - F.col("top.n")) / left).cast("int").alias("a"), F.ceil(F.col("n") / right).cast("int").alias("b"))
+    rows = placed.select("bucket", "node", "component").join(dealt(written(blocks)), "bucket").withColumn("minor", F.col("component") != F.col("major"))
+    own, every = (lambda n: F.pmod(F.xxhash64("node"), n).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    few = rows.where("minor").select("bucket", own("a").alias("i"), every("b").alias("j"), F.lit(0).alias("role"), "node", "component", "minor")
+    return few.unionByName(rows.select("bucket", every("a").alias("i"), own("b").alias("j"), F.lit(1).alias("role"), "node", "component", "minor"))
+
+
+def meetings(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple], list[tuple], bool]]:
+    """``(group, left, right, last)`` from rows sorted by bucket, i, j, role: a group's left block whole, with its right block in portions."""
+    group, left, right = None, [], []
+    for batch in batches:
+        for r in zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j", "role", *columns)), strict=True):
+            if r[:3] != group:
+                if group is not None:
+                    yield group, left, right, True
+                group, left, right = r[:3], [], []
+            (right if r[3] else left).append(r[4:])
+            if len(right) == 512:
+                yield group, left, right, False
+                right = []
+    if group is not None:
+        yield group, left, right, True
+
+
+def promising(rows: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
+    """The rows of ``facing`` that have a partner in their group: of another component and with enough equal minima.
+
+    A pair that several buckets hold counts in the one of its first shared band.
     """
-    sizes = buckets.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own = F.pmod(F.xxhash64("node"), "blocks").cast("int")
-    rows = buckets.join(dealt(sizes), "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component").join(dealt(nodes.select("node", "minima")), "node")
-
-    def pairs(group: list[dict]) -> Iterator[tuple[int, int]]:
-        i, j = group[0]["i"], group[0]["j"]
-        left, right = [r for r in group if r["own"] == i], [r for r in group if r["own"] == j]
-        if not left or not right:
-            return
-        a, b = (np.frombuffer(b"".join(r["minima"] for r in x), np.uint32).reshape(-1, HASHES) for x in (left, right))
-        same = np.zeros((len(a), len(b)), np.uint8)
-        for k in range(HASHES):
-            same += a[:, k, None] == b[None, :, k]
-        part = np.array([r["component"] for r in left])[:, None] != np.array([r["component"] for r in right])[None, :]
-        for x, y in zip(*np.nonzero(part & (same >= least * HASHES)), strict=True):
-            if i != j or x < y:
-                yield left[x]["node"], right[y]["node"]
+    columns = ("node", "component", "minor", "minima")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group: list[dict] = []
+        marked: set[int] = set()
+        for group, left, right, last in meetings(batches, columns):
+            out = []
+            if left and right:
+                a, b = (np.frombuffer(b"".join(r[3] for r in x), np.uint32).reshape(-1, HASHES) for x in (left, right))
+                same, first = np.zeros((len(a), len(b)), np.uint8), np.full((len(a), len(b)), BANDS, np.uint8)
+                for band in reversed(range(BANDS)):
+                    whole = np.ones(same.shape, bool)
+                    for k in range(band * ROWS, (band + 1) * ROWS):
+                        equal = a[:, k, None] == b[None, :, k]
+                        same += equal
+                        whole &= equal
+                    first[whole] = band
+                own = int(np.flatnonzero(band_keys(a[:1])[0].view(np.int64) == group[0])[0])
+                (na, ca, _), (nb, cb, mb) = (tuple(np.array([r[k] for r in x]) for k in range(3)) for x in (left, right))
+                ok = (same >= least * HASHES) & (first == own) & (ca[:, None] != cb[None, :]) & (~mb[None, :] | (na[:, None] < nb[None, :]))
+                marked.update(np.flatnonzero(ok.any(axis=1)).tolist())
+                out = [(1, *right[y][:3]) for y in np.flatnonzero(ok.any(axis=0))]
+            if last:
+                out += [(0, *left[x][:3]) for x in sorted(marked)]
+                marked = set()
+            if out:
+                yield pa.RecordBatch.from_pylist([dict(zip(FACING, (*group, *r), strict=True)) for r in out], schema=FACING_SCHEMA)
+
+    placed = rows.join(dealt(nodes.select("node", "minima")), "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "role")
+    return written(placed.select("bucket", "i", "j", "role", *columns).mapInArrow(run, "bucket long, i int, j int, role int, node long, component long, minor boolean"))
+
+
+FACING_SCHEMA = pa.schema([("bucket", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("role", pa.int32()), ("node", pa.int64()), ("component", pa.int64()), ("minor", pa.bool_())])
+FACING = FACING_SCHEMA.names
+
+
+def common(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all left sets with all right sets."""
+    flat, owner = np.concatenate(left), np.repeat(np.arange(len(left)), [len(s) for s in left])
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    out = np.zeros((len(right), len(left)), np.int64)
+    for k, s in enumerate(right):
+        a, b = np.searchsorted(flat, s), np.searchsorted(flat, s, "right")
+        n = b - a
+        at = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[k] = np.bincount(owner[at], minlength=len(left))
+    return out.T
+
+
+def cross_links(placed: DataFrame, nodes: DataFrame, docs: DataFrame, least: float, size: int, percent: int, left: int = 256, right: int = 4096) -> DataFrame:
+    """Links ``u, v`` between components that share a bucket: the exact way for what hubs miss.
+
+    Full sets of promising rows meet in the groups of ``facing``; a group compares all its pairs and keeps those links alone that join two components
+    not joined in it before, a spanning forest. A task holds one left block's sets and a portion of the right's.
+    """
+    rows = promising(facing(placed, left, right), nodes, least)
+    ids = rows.select(F.col("node").alias("doc_id")).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(dealt(ids), "doc_id", "left_semi")
+    rows = rows.join(dealt(texts.withColumnRenamed("doc_id", "node")), "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "role")
 
-        def close() -> pa.RecordBatch:
-            found = list(pairs(group)) if group else []
-            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["hub", "node"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, ids, parts, sets, root = None, [], [], [], {}
 
-        for batch in batches:
-            for r in batch.to_pylist():
-                if group and (r["bucket"], r["i"], r["j"]) != (group[0]["bucket"], group[0]["i"], group[0]["j"]):
-                    yield close()
-                    group = []
-                group.append(r)
-        yield close()
+        def top(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = x = root[root[x]]
+            return x
+
+        for batch in slices(batches, text_bytes, BATCH_BYTES):
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("bucket", "i", "j")), strict=True))
+            role, node, part = (batch.column(c).to_pylist() for c in ("role", "node", "component"))
+            own = shingle_sets(batch.column("text").to_pylist(), size)
+            found, at = [], 0
+            while at < len(keys):
+                if keys[at] != group:
+                    group, ids, parts, sets, root = keys[at], [], [], [], {}
+                stop = at
+                while stop < len(keys) and keys[stop] == group and role[stop] == role[at]:
+                    stop += 1
+                if role[at] == 0:
+                    ids, parts, sets = ids + node[at:stop], parts + part[at:stop], sets + own[at:stop]
+                elif sets:
+                    both = common(sets, own[at:stop])
+                    sizes = [np.array([len(s) for s in x]) for x in (sets, own[at:stop])]
+                    apart = np.array(parts)[:, None] != np.array(part[at:stop])[None, :]
+                    for x, y in zip(*np.nonzero(apart & (100 * both >= percent * (sizes[0][:, None] + sizes[1][None, :] - both))), strict=True):
+                        a, b = top(parts[x]), top(part[at + y])
+                        if a != b:
+                            root[a] = b
+                            found.append((ids[x], node[at + y]))
+                at = stop
+            yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
-    placed = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    found = placed.select("bucket", "i", "j", "own", "node", "component", "minima").mapInArrow(run, "hub long, node long")
-    return found.select(F.least("hub", "node").alias("hub"), F.greatest("hub", "node").alias("node")).where("hub <> node").distinct()
+    return written(rows.select("bucket", "i", "j", "role", "node", "component", "text").mapInArrow(run, "u long, v long"))
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -244,10 +341,11 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     Words are split at ASCII white space after lower-casing A-Z; a set holds the distinct ``size``-word shingles.
     1. Minima under ``HASHES`` universal hashes; rows with equal sets become one node, its least doc_id.
     2. ``BANDS`` bands of ``ROWS`` minima give buckets: a pair at 0.8 shares none once in 300,000 times.
-    3. Each node is checked against the heaviest hub of its buckets, then against the hubs that are in another component
+    3. Each node is checked against the heaviest hub of its buckets, then against up to two hubs that are in another component
        by then: first by equal minima, then on full sets.
-    4. Components by large-star and small-star. Where a bucket still holds several components, pairs across them are
-       compared in blocks and again checked on full sets, so no candidate pair within a bucket stays untested.
+    4. Components by large-star and small-star. Where a bucket still holds several components, the nodes outside its largest are
+       compared with all in blocks, by minima and then on full sets, so no candidate pair within a bucket stays untested;
+       a block emits a spanning forest of verified links.
     5. Components again; each row gets the least doc_id reachable. ``kept``: the row has that doc_id.
 
     Texts without words and null texts link with nothing. Rows of one doc_id are versions of one document and
@@ -263,13 +361,9 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     def located(groups: DataFrame) -> DataFrame:
         return buckets.select("bucket", "node", "n").join(dealt(groups), "node", "left").withColumn("component", F.coalesce("component", "node"))
 
-    more = linked(alike(further_pairs(located(written(components(links)))), nodes, least), docs, size, percent)
-    links = links.unionByName(more)
+    links = links.unionByName(linked(alike(further_pairs(located(written(components(links)))), nodes, least), docs, size, percent))
     groups = written(components(links))
-    placed = located(groups)
-    open_ = placed.groupBy("bucket").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a < b").select("bucket")
-    rest = cross_pairs(placed.drop("n").join(dealt(open_), "bucket", "left_semi"), nodes, least)
-    more = linked(rest, docs, size, percent)
+    more = cross_links(located(groups), nodes, docs, least, size, percent)
     if not more.isEmpty():
         groups = components(links.unionByName(more))
     of = classes.select("set_key", "node").join(dealt(groups), "node", "left").select("set_key", F.coalesce("component", "node").alias("component"))
