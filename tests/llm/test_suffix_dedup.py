@@ -52,7 +52,8 @@ def test_edges_overlaps_and_hot_passages(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     want = brute([(i, t.encode()) for i, t in enumerate(texts)], 40)
     assert figures(suffix_dedup(docs, 40)) == want
-    assert figures(suffix_dedup(docs, 40, bucket_most=2)) == want
+    for token_bytes in (2000, 300, 50):
+        assert figures(suffix_dedup(docs, 40, token_bytes=token_bytes)) == want
 
 
 def test_hard_cases(odd_docs, no_docs):
@@ -62,6 +63,12 @@ def test_hard_cases(odd_docs, no_docs):
     assert suffix_dedup(no_docs).count() == 0
 
 
+def test_columns_of_any_name_come_back(spark):
+    docs = spark.createDataFrame([(1, "a" * 900, 5, "x", "y", "z"), (2, "b", 6, "u", "v", "w")], "doc_id long, text string, d long, k string, spans string, `a.b` string")
+    got = sorted(tuple(r)[:6] for r in suffix_dedup(docs).collect())
+    assert got == [(1, "", 5, "x", "y", "z"), (2, "b", 6, "u", "v", "w")]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.binary(min_size=7, max_size=40).map(lambda b: bytes(x % 2 for x in b)), st.integers(0, 1)), min_size=1, max_size=6))
 def test_local_sort(parts):

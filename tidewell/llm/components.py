@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import dealt, written
+from tidewell.llm.shared import dealt, forget, written
 
 
 def large_star(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = written(edges.select("u", "v").where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     seen = state(now)
     while True:
-        now = written(small_star(large_star(now)))
+        last, now = now, written(small_star(large_star(now)))
+        forget(last)
         new = state(now)
         if new == seen:
             break

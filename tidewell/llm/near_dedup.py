@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.components import components
-from tidewell.llm.shared import dealt, slices, text_bytes, written
+from tidewell.llm.shared import dealt, forget, slices, text_bytes, written
 
 BATCH_BYTES = 1_000_000
 BANDS, ROWS = 24, 4
@@ -112,7 +112,9 @@ def banded(nodes: DataFrame) -> DataFrame:
 
     rows = written(nodes.select("node", "minima").mapInArrow(run, "bucket long, node long").distinct())
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    return written(rows.join(dealt(shared), "bucket"))
+    out = written(rows.join(dealt(shared), "bucket"))
+    forget(rows)
+    return out
 
 
 def hubs_of(placed: DataFrame) -> DataFrame:
@@ -198,7 +200,10 @@ def linked(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFr
             yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
 
     placed = rows.repartition("hub", "share").sortWithinPartitions("hub", "share", "role")
-    return written(placed.mapInArrow(run, "u long, v long"))
+    out = written(placed.mapInArrow(run, "u long, v long"))
+    forget(texts)
+    forget(pairs)
+    return out
 
 
 def facing(placed: DataFrame, left: int, right: int) -> DataFrame:

@@ -9,13 +9,21 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from tidewell.llm.near_dedup import mixed
-from tidewell.llm.shared import slices, text_bytes, written
+from tidewell.llm.shared import dealt, forget, slices, text_bytes, written
 
 LEAD = 32
 BATCH_BYTES = 1 << 20
+#: Bytes of segments that a bucket sorts at a time, unless one leading token has more.
 BUCKET_BYTES = 1 << 20
+#: Bytes of segments of one leading token that one bucket takes; beyond, the token is made longer.
+TOKEN_BYTES = 4 << 20
+#: Low bits that hold a place while anchors are chosen; portions of text are shorter than two to that power.
+PLACE = np.uint64(24)
+#: Parts into which the windows of a segment are cut when its leading token is made longer.
+CUTS = 8
 STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 #: Bytes that one character of the local multikey sort stands for.
 CHARACTER = 80
@@ -23,7 +31,7 @@ CHARACTER = 80
 
 def rolled(data: np.ndarray, width: int, step: np.uint64 = STEPS[0]) -> np.ndarray:
     """A 64-bit fingerprint of every ``width``-byte substring, built by doubling."""
-    part, size, power = data.astype(np.uint64) + np.uint64(1), 1, step
+    part, size, power = data.astype(np.uint64) + np.uint64(1), 1, np.array([step])
     whole, done = None, 0
     while True:
         if width & size:
@@ -63,10 +71,9 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int) -> tuple[np.ndarray,
     if len(data) < width:
         return none, np.zeros(0, np.uint64), none, none
     grams = rolled(data, LEAD)
-    bits = np.uint64(max(1, int(len(grams)).bit_length()))
     at = np.arange(len(grams), dtype=np.uint64)
-    low = sliding_min((grams >> bits << bits) | at, width - LEAD + 1)
-    owner = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    low = sliding_min((grams >> PLACE << PLACE) | at, width - LEAD + 1)
+    owner = (low & ((np.uint64(1) << PLACE) - np.uint64(1))).astype(np.int64)
     first = np.flatnonzero(ends[: len(owner)] - np.arange(len(owner)) >= width)
     if not len(first):
         return none, np.zeros(0, np.uint64), none, none
@@ -95,12 +102,21 @@ def documents(batch: pa.RecordBatch, width: int) -> Iterator[tuple[list[int], li
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``d, k``: doc_id (0 for null) and a hash of the row's id and text, which together name a row's content."""
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("k", F.xxhash64("doc_id", "text"))
+    """``row`` (the columns but text), ``text`` and ``d, k``: doc_id (0 for null) and a hash of the row's id and text, which together name a row's content."""
+    others = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text"))
+    text = F.col("text").cast("string")
+    return docs.select(others.alias("row"), text.alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("doc_id", text).alias("k"))
+
+
+def digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=16).digest()
 
 
 def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
-    """``d, k, g, lo, n``: each run of windows of each text with its anchor's fingerprint."""
+    """``d, k, g, lo, n, off, same``: each run of windows of each text with its anchor's fingerprint.
+
+    ``off`` is the anchor's place in the run's first window, ``same`` a digest of the run's bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_bytes, BATCH_BYTES):
@@ -108,41 +124,66 @@ def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
             for rows, parts, offsets in documents(batch, width):
                 sizes = np.array([len(p) for p in parts])
                 stops = np.cumsum(sizes)
-                data = np.frombuffer(b"".join(parts), np.uint8)
-                _, gram, first, count = anchors(data, np.repeat(stops, sizes), width)
+                flat = b"".join(parts)
+                at, gram, first, count = anchors(np.frombuffer(flat, np.uint8), np.repeat(stops, sizes), width)
                 part = np.searchsorted(stops, first, "right")
                 row = np.array(rows)[part]
                 lo = first - (stops - sizes)[part] + np.array(offsets)[part]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(d[row]), pa.array(k[row]), pa.array(gram.view(np.int64)), pa.array(lo, pa.int64()), pa.array(count, pa.int32())], ["d", "k", "g", "lo", "n"]
-                )
+                same = [digest(flat[a:b]) for a, b in zip(first.tolist(), (first + count + (width - 1)).tolist(), strict=True)]
+                arrays = [pa.array(x, t) for x, t in zip((d[row], k[row], gram.view(np.int64), lo, count, at - first, same), RUN_TYPES, strict=True)]
+                yield pa.RecordBatch.from_arrays(arrays, ["d", "k", "g", "lo", "n", "off", "same"])
 
-    return keyed(docs).select("d", "k", F.col("text").cast("string").alias("text")).mapInArrow(run, "d long, k long, g long, lo long, n int")
+    return keyed(docs).select("d", "k", "text").mapInArrow(run, "d long, k long, g long, lo long, n int, off int, same binary")
 
 
-def segments(docs: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
-    """The bytes of every run whose anchor occurs twice: ``d, k, g, lo, n, same`` (a digest of the bytes), ``bytes``.
+RUN_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
-    Runs come per document, bounded by the document's length.
+
+def segments(docs: DataFrame, picked: DataFrame, width: int, longer: bool) -> DataFrame:
+    """``d, k, g, lo, n, once, same, bytes``: the bytes of the picked runs (g, d, k, lo, n, off, once), a bounded portion of them at a time.
+
+    With ``longer`` each run is cut into parts and ``g`` also covers what all windows of a part have in common: the bytes
+    around the anchor that the part's first and last possible window share. Windows can only be equal if these are.
     """
-    runs = repeated.groupBy("d", "k").agg(F.collect_list(F.struct("g", "lo", "n")).alias("runs"))
-    rows = keyed(docs).select("d", "k", F.col("text").cast("string").alias("text")).join(runs, ["d", "k"])
+    most = width - LEAD
+    step = -(-(most + 1) // CUTS)
+    runs = picked.groupBy("d", "k").agg(F.collect_list(F.struct("g", "lo", "n", "off", "once")).alias("runs"))
+    rows = keyed(docs).select("d", "k", "text").join(dealt(runs), ["d", "k"])
+
+    def parts(data: bytes, r: dict) -> Iterator[tuple]:
+        if not longer:
+            yield r["g"], r["lo"], r["n"]
+            return
+        at = r["lo"] + r["off"]
+        for cut in range(CUTS):
+            low, high = cut * step, min((cut + 1) * step - 1, most)
+            # Windows of the run whose anchor lies low to high bytes after their start.
+            a, b = max(r["lo"], at - high), min(r["lo"] + r["n"] - 1, at - low)
+            if a <= b:
+                core = data[at - low : at + width - high]
+                yield int.from_bytes(digest(b"%d %d " % (r["g"], cut) + core)[:8], "little", signed=True), a, b - a + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_bytes, BATCH_BYTES):
-            out = []
+            out, size = [], 0
             for d, k, text, runs in zip(*(batch.column(c).to_pylist() for c in ("d", "k", "text", "runs")), strict=True):
                 data = text.encode()
                 for r in runs:
-                    part = data[r["lo"] : r["lo"] + r["n"] + width - 1]
-                    out.append((d, k, r["g"], r["lo"], r["n"], hashlib.blake2b(part, digest_size=16).digest(), part))
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SEGMENT_TYPES, strict=True)], SEGMENT_NAMES)
+                    for g, lo, n in parts(data, r):
+                        part = data[lo : lo + n + width - 1]
+                        out.append((d, k, g, lo, n, r["once"], digest(part), part))
+                        size += len(part)
+                    if size >= BATCH_BYTES:
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SEGMENT_TYPES, strict=True)], SEGMENT_NAMES)
+                        out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SEGMENT_TYPES, strict=True)], SEGMENT_NAMES)
 
-    return rows.mapInArrow(run, "d long, k long, g long, lo long, n int, same binary, bytes binary")
+    return rows.mapInArrow(run, "d long, k long, g long, lo long, n int, once boolean, same binary, bytes binary")
 
 
-SEGMENT_NAMES = ["d", "k", "g", "lo", "n", "same", "bytes"]
-SEGMENT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
+SEGMENT_NAMES = ["d", "k", "g", "lo", "n", "once", "same", "bytes"]
+SEGMENT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
 
 
 def multikey(keys: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,9 +247,9 @@ def repeated_windows(parts: list[bytes], groups: np.ndarray, counts: np.ndarray,
 def spans_in_buckets(rows: DataFrame, width: int) -> DataFrame:
     """``d, k, start, end`` of repeated windows of segments (with ``once``: no equal segment elsewhere).
 
-    Suffixes are dealt to buckets by range: Spark samples splitters of the leading token, the anchor's
-    fingerprint, and all suffixes with one leading token are in one bucket, so that none is
-    parted from an equal one by a boundary. Buckets are sorted locally, in portions of whole groups.
+    Suffixes are dealt to buckets by range: Spark samples splitters of the leading token ``g``, and all suffixes with one
+    leading token are in one bucket, so that a boundary never parts a suffix from an equal one and a comparison across
+    boundaries finds nothing. Buckets are sorted locally, in portions of whole groups.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,8 +279,8 @@ def spans_in_buckets(rows: DataFrame, width: int) -> DataFrame:
         if held:
             yield close(held)
 
-    dealt = rows.repartitionByRange("g").sortWithinPartitions("g")
-    return dealt.select("d", "k", "g", "lo", "n", "once", "bytes").mapInArrow(run, "d long, k long, start long, end long")
+    placed = rows.repartitionByRange("g").sortWithinPartitions("g")
+    return placed.select("d", "k", "g", "lo", "n", "once", "bytes").mapInArrow(run, "d long, k long, start long, end long")
 
 
 def spans_by_count(rows: DataFrame, width: int) -> DataFrame:
@@ -266,41 +307,66 @@ def spans_by_count(rows: DataFrame, width: int) -> DataFrame:
     return windows.where("once").join(twice, ["p", "q"], "left_semi").select("d", "k", "start", (F.col("start") + width).alias("end"))
 
 
-def repeated_spans(docs: DataFrame, width: int, bucket_most: int = 256) -> DataFrame:
+def told_apart(rows: DataFrame, first: list[str], width: int) -> tuple[DataFrame, DataFrame]:
+    """Equal segments of ``rows``, and one each of those that must be sorted.
+
+    ``rows`` has g, same, n, once and the columns ``first``, which name a segment. Gives ``g, same`` of segments that occur twice, and
+    one row per segment of those leading tokens that have several different ones and one that occurs once: ``once`` (it does, and must be judged) and ``size``, the bytes of all of its token.
+    """
+    kinds = written(rows.groupBy("g", "same", "n").agg(F.count("*").alias("c"), F.max("once").alias("judge"), F.min(F.struct(*first)).alias("one")))
+    groups = kinds.groupBy("g").agg(F.count("*").alias("m"), F.max((F.col("c") == 1) & F.col("judge")).alias("open"), F.sum(F.col("n") + (width - 1)).alias("size")).where("m > 1 and open")
+    picked = kinds.join(dealt(written(groups.select("g", "size"))), "g")
+    return kinds.where("c > 1").select("g", "same"), picked.select("g", "same", "n", ((F.col("c") == 1) & F.col("judge")).alias("once"), "one.*", "size")
+
+
+def spans_of(rows: DataFrame, width: int) -> DataFrame:
+    return rows.select("d", "k", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (width - 1)).alias("end"))
+
+
+def repeated_spans(docs: DataFrame, width: int, token_bytes: int = TOKEN_BYTES) -> DataFrame:
     """``d, k, start, end``: byte spans whose every byte lies in a ``width``-byte string that starts twice.
 
     Suffixes are thinned without loss first. Every window belongs to its anchor; a window can only repeat if its
     anchor occurs twice, and windows of one anchor of one text travel as one segment. Equal segments
-    are all repeated and need no sorting; of the others one each goes to the sort. Leading tokens with
-    more than ``bucket_most`` different segments are counted window by window instead.
+    are all repeated and need no sorting; of the others one each goes to the sort. A leading token with
+    more than ``token_bytes`` of different segments is made longer: its segments are cut in ``CUTS`` parts, whose tokens cover most
+    of the window, and what is equal leaves again. Windows of a token that is still too frequent then, with nearly all their bytes
+    in common, are counted one by one, with map-side sums.
     """
     runs = written(anchor_rows(docs, width))
-    twice = runs.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").drop("c")
-    parts = written(segments(docs, runs.join(twice, "g", "left_semi"), width))
-    narrow = parts.drop("bytes")
-    kinds = written(narrow.groupBy("g", "same").agg(F.count("*").alias("c"), F.min(F.struct("d", "k", "lo")).alias("one")))
-    whole = narrow.join(kinds.where("c > 1").select("g", "same"), ["g", "same"], "left_semi").select("d", "k", F.col("lo").alias("start"), (F.col("lo") + F.col("n") + (width - 1)).alias("end"))
-    open_ = kinds.groupBy("g").agg(F.count("*").alias("m"), F.min("c").alias("least")).where("m > 1 and least = 1")
-    picked = kinds.join(open_, "g").select("g", "same", "one.d", "one.k", "one.lo", (F.col("c") == 1).alias("once"), "m")
-    rows = written(parts.join(picked, ["g", "same", "d", "k", "lo"]))
-    few = spans_in_buckets(rows.where(F.col("m") <= bucket_most), width)
-    many = spans_by_count(rows.where(F.col("m") > bucket_most), width)
-    return whole.unionByName(few).unionByName(many)
-
-
-def suffix_dedup(docs: DataFrame, width: int = 400, bucket_most: int = 256) -> DataFrame:
+    # Both sides of each join are written tables, so that adaptive execution can split a token that very many runs have.
+    twice = written(runs.groupBy("g").agg(F.count("*").alias("c")).where("c > 1").select("g"))
+    again = written(runs.join(dealt(twice), "g").withColumn("once", F.lit(True)))
+    forget(runs)
+    forget(twice)
+    equal, picked = told_apart(again, ["d", "k", "lo", "off"], width)
+    whole = spans_of(again.join(dealt(equal), ["g", "same"]), width)
+    picked = written(picked)
+    few = spans_in_buckets(segments(docs, picked.where(F.col("size") <= token_bytes), width, False), width)
+    many = picked.where(F.col("size") > token_bytes)
+    if many.isEmpty():
+        return whole.unionByName(few)
+    parts = written(segments(docs, many, width, True))
+    equal, picked = told_apart(parts.drop("bytes"), ["d", "k", "lo"], width)
+    rows = written(parts.drop("once", "n").join(dealt(written(picked)), ["g", "same", "d", "k", "lo"]))
+    whole = whole.unionByName(spans_of(parts.drop("bytes").where("once").join(dealt(equal), ["g", "same"]), width))
+    cut = spans_in_buckets(rows.where(F.col("size") <= token_bytes), width)
+    return whole.unionByName(few).unionByName(cut).unionByName(spans_by_count(rows.where(F.col("size") > token_bytes), width))
+
+
+def suffix_dedup(docs: DataFrame, width: int = 400, token_bytes: int = TOKEN_BYTES) -> DataFrame:
     """``docs`` without the bytes covered by a ``width``-byte string that also starts elsewhere in any row.
 
     All occurrences go, also overlapping ones; strings are judged on the input and don't cross rows. ``text`` is what
     is left (a character cut apart is dropped; null stays null) and these columns are added, replacing any of the
     same name: ``n_bytes``, ``n_removed``, ``n_spans`` (maximal removed runs), ``kept_sha256`` (of the remaining
-    bytes, before cut characters are dropped). Repeated rows are each other's repeats. Empty table: no rows.
+    bytes, before cut characters are dropped). All other columns, whatever their names, come back as they were.
+    Repeated rows are each other's repeats. A text of any length is read in portions. Empty table: no rows.
     """
     added = ["n_bytes", "n_removed", "n_spans", "kept_sha256"]
-    base = docs.drop(*added, "d", "k", "spans")
-    names = base.columns
-    spans = repeated_spans(docs, width, bucket_most).groupBy("d", "k").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    rows = keyed(base).join(spans, ["d", "k"], "left").select(*names, "spans")
+    base = docs.drop(*added)
+    spans = repeated_spans(base, width, token_bytes).groupBy("d", "k").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
+    rows = keyed(base).join(dealt(spans), ["d", "k"], "left").select("row", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, text_bytes, 8 * BATCH_BYTES):
@@ -320,8 +386,8 @@ def suffix_dedup(docs: DataFrame, width: int = 400, bucket_most: int = 256) -> D
                 texts.append(None if text is None else text if not cuts else rest.decode(errors="ignore"))
                 figures.append((len(data), len(data) - len(rest), runs, hashlib.sha256(rest).hexdigest()))
             new = [pa.array([f[i] for f in figures], pa.string() if i == 3 else pa.int64()) for i in range(4)]
-            kept = [pa.array(texts, pa.string()) if c == "text" else batch.column(c) for c in names]
-            yield pa.RecordBatch.from_arrays([*kept, *new], [*names, *added])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), *new], ["row", "text", *added])
 
-    kinds = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in base.schema), "n_bytes long, n_removed long, n_spans long, kept_sha256 string"])
-    return rows.mapInArrow(run, kinds)
+    figures = [StructField(c, StringType() if c == "kept_sha256" else LongType()) for c in added]
+    out = rows.mapInArrow(run, StructType([*rows.schema.fields[:2], *figures]))
+    return out.select(*(F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in base.columns), *added)
