@@ -1,6 +1,5 @@
 """Texts that hold an added token of the file get the ids that the library gives by default."""
 
-import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -9,6 +8,8 @@ from tokenizers import Tokenizer
 from tidewell.llm import packing, tokens
 from tidewell.llm.queries import tokenizer_path
 
+from .test_tokens import ids_of
+
 BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.json")
 
 
@@ -20,7 +21,7 @@ def default_ids(path, text):
 def test_added_tokens(path, keeps):
     enc = tokens.Encoder(path, keeps)
     texts = ["one <|endoftext|> two", "a<|startoftext|>b", "<|ENDOFTEXT|> x", "<|endoftext|>", "plain", "<|endof text|>"]
-    got = [np.frombuffer(x, enc.kind).tolist() for x in enc.encode(texts)]
+    got = ids_of(enc, texts)
     assert got == [default_ids(path, t) for t in texts]
     assert got[0] == ([505, 220, 50256, 734] if keeps else [637, 49407, 1237])
 
@@ -33,7 +34,7 @@ LIBRARY = {path: Tokenizer.from_file(path) for path in (BYTE, WORD)}
 def test_mixed_with_other_text(text):
     for path, keeps in ((BYTE, True), (WORD, False)):
         enc = tokens.encoder(path, keeps)
-        assert np.frombuffer(enc.encode([text])[0], enc.kind).tolist() == LIBRARY[path].encode(text, add_special_tokens=False).ids
+        assert ids_of(enc, [text]) == [LIBRARY[path].encode(text, add_special_tokens=False).ids]
 
 
 def test_operators(spark):

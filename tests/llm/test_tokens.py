@@ -2,6 +2,7 @@ import zlib
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -16,7 +17,6 @@ BYTE, WORD = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("word_bpe_49k.j
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: [*t.encode(text or "", add_special_tokens=False).ids, 0]
 
 
@@ -24,12 +24,39 @@ def crc(ids):
     return zlib.crc32(np.array(ids, np.uint32).tobytes())
 
 
+def ids_of(enc, texts):
+    """Each text's ids as a list."""
+    ids, starts = enc.encode(pa.array(texts, pa.string()))
+    return [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)]
+
+
+LIBRARY = {path: library(path) for path in (BYTE, WORD)}
+MARKED = st.text(st.sampled_from("ab É́ᄀİǅ\n\t\r\x1c\x85\xa0\u3000'st.,1²漢<|>\x00"), max_size=30)
+
+
 @settings(max_examples=300, deadline=None)
-@given(st.text(st.sampled_from("ab É́ᄀ\n\t\r\x1c\x85 　'st.,1²漢<|>\x00"), max_size=30))
-def test_segments_give_the_library_ids(text):
+@given(st.lists(st.one_of(MARKED, st.text(st.characters(exclude_categories=["Cs"]), max_size=20)), max_size=4))
+def test_segments_give_the_library_ids(texts):
+    for path, keeps in ((BYTE, True), (WORD, False)):
+        assert ids_of(tokens.encoder(path, keeps), texts) == [LIBRARY[path](t)[:-1] for t in texts]
+
+
+def test_letters_whose_case_is_odd():
+    texts = ["İstanbul Iıİ", "ǅ ŉ ﬁ ẞ Σς", "plain words, then\nlines.\n\nEnd \n x", None, ""]
     for path, keeps in ((BYTE, True), (WORD, False)):
-        enc = tokens.encoder(path, keeps)
-        assert np.frombuffer(enc.encode([text])[0], enc.kind).tolist() == library(path)(text)[:-1]
+        assert ids_of(tokens.encoder(path, keeps), texts) == [LIBRARY[path](t)[:-1] for t in texts]
+
+
+def test_reading_is_spread(spark):
+    docs = spark.range(400).selectExpr("id as doc_id", "repeat('word ', 50) as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "1b")
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "2k")
+    try:
+        out = tokens.token_binary(docs, BYTE, 64)
+        assert out.rdd.getNumPartitions() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.minPartitionSize")
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
 
 
 def check_files(docs, out):

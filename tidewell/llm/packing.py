@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.llm.shared import slices, text_bytes, written
+from tidewell.llm.shared import dealt, slices, text_bytes, written
 from tidewell.llm.tokens import BATCH_BYTES, crc32, encoder
 
 
@@ -28,8 +28,10 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, keeps_space: b
         seen = [0] * (capacity + 1)
         for batch in slices(batches, text_bytes, BATCH_BYTES):
             rows = []
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), enc.encode([t or "" for t in batch.column("text").to_pylist()]), strict=True):
-                ids = np.frombuffer(ids + bytes(enc.kind.itemsize), enc.kind)
+            every, starts = enc.encode(batch.column("text"))
+            every = np.insert(every, starts[1:], 0).astype("<u4")
+            for i, doc in enumerate(batch.column("doc_id").to_pylist()):
+                ids = every[starts[i] + i : starts[i + 1] + i + 1]
                 for k, at in enumerate(range(0, len(ids), capacity)):
                     part = ids[at : at + capacity]
                     n = len(part)
@@ -182,7 +184,7 @@ def pack(cut: DataFrame, capacity: int = 2048) -> DataFrame:
             sequence = rule[:, 3] + rank - rule[:, 1]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in NAMES[:5]), pa.array(sequence, pa.int64()), pa.array(rule[:, 4], pa.int64())], [*NAMES[:5], "sequence_id", "offset"])
 
-    placed = cut.join(bases.drop("n"), ["block", "length"]).select(*NAMES[:5], (F.col("base") + F.col("rank")).alias("at"))
+    placed = cut.join(dealt(bases.drop("n")), ["block", "length"]).select(*NAMES[:5], (F.col("base") + F.col("rank")).alias("at"))
     return placed.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 

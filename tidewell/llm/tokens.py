@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.ipc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -18,18 +19,20 @@ from pyspark.sql import functions as F
 
 from tidewell.llm.shared import file_system, shared_folder, slices, text_bytes, written
 
-CACHED = 400_000
-BATCH_BYTES = 2_000_000
-#: White space by the tokenizers' own definition; Python's also holds U+001C to U+001F.
+CACHED = 500_000
+BATCH_BYTES = 6_000_000
+#: White space but blanks and line feeds, and U+001C to U+001F, which Python takes for white space and the tokenizers don't.
+RARE_SPACE = "\t\x0b-\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 OTHER_SPACE = re.compile("[\x1c-\x1f]")
 SPACE_IN_RUN = re.compile(r"\s \s|  ")
 SPACE_AT_LINE = re.compile(r"\s\n|\n\s|\n\Z")
+#: The same of texts without rare white space, as Arrow's expressions know them.
+PLAIN_AT_LINE = r"[ \n]\n|\n |\n\z"
 MARKS = ",.;:!?"
-#: An optional blank and letters up to Latin Extended-B, whose classes and cases are the same in all Unicode versions.
-LETTERS = re.compile(" ?[A-Za-zªµºÀ-ÖØ-öø-\u0240]+")
-#: How byte-level vocabularies show bytes: printable Latin-1 as it is, the rest from U+0100 on, in order.
-PRINTABLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-SHOWN = {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)) - set(PRINTABLE)))}
+#: An optional blank and letters whose lower case is beyond doubt; all others go through the library's own normaliser.
+LETTERS = re.compile(" ?[A-Za-z]+")
+#: How byte-level vocabularies show a blank; ASCII letters are shown as they are.
+SHOWN_BLANK = "\u0120"
 
 
 class Encoder:
@@ -38,7 +41,8 @@ class Encoder:
     Neither tokenizer kind merges across the start of a blank-separated segment, so a text's ids are its
     segments' ids in turn. ``keeps_space``: a byte-level tokenizer, whose segments keep the leading blank.
     Texts in which white space runs make that unsure go to the library whole, as do those that hold one of the file's
-    added tokens (``<|endoftext|>``), which the library finds before it splits. A new segment that ends in a letter
+    added tokens (``<|endoftext|>``), which the library finds before it splits. Arrow cuts texts and numbers their distinct
+    segments; only segments that are new become Python strings one by one. A new segment that ends in a letter
     and a mark is put together from its stem and the mark, as letters and marks never share a token.
     """
 
@@ -50,18 +54,21 @@ class Encoder:
         added = sorted((re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()), key=len, reverse=True)
         #: Whatever the case: a file may have tokens that are looked for in the lowered text.
         self.added = re.compile("|".join(added) or r"(?!)", re.IGNORECASE)
+        unsure = [f"[{RARE_SPACE}]", *(["\0", "  ", "\n \n"] if keeps_space else []), *(f"(?i:{x})" for x in added)]
+        self.unsure = "|".join(unsure)
         #: Ids are held in 2 bytes where the vocabulary allows it.
         self.kind = np.dtype("<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4")
         self.keeps_space = keeps_space
-        self.known: dict[str, bytes] = {}
+        self.basic = dict(zip(MARKS, self.whole(list(MARKS)), strict=True)) | {"": b""}
+        self.known: dict[str, bytes] = dict(self.basic)
+        self.recent: list[str] = []
 
     def whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def word(self, segment: str) -> bytes:
         """Ids of a segment of letters: one token of the pre-tokenizer, so the model alone gives them."""
-        text = segment if self.keeps_space else segment.lower()
-        shown = text.encode().decode("latin-1").translate(SHOWN)
+        shown = segment.replace(" ", SHOWN_BLANK) if self.keeps_space else segment.lower()
         return array(self.kind.char, [t.id for t in self.library.model.tokenize(shown)]).tobytes()
 
     def segments(self, text: str) -> list[str] | None:
@@ -87,23 +94,48 @@ class Encoder:
             known[x] = ids + known[mark] if mark else ids
         known.update(zip(odd, self.whole(odd), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned integers of ``kind``."""
-        if not self.known or len(self.known) > CACHED:
-            self.known = dict(zip(MARKS, self.whole(list(MARKS)), strict=True))
+    def each(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of texts that Arrow can't cut, text by text."""
         parts = [self.segments(t) for t in texts]
-        get = self.known.get
-        rows = [list(map(get, p or ())) for p in parts]
-        gaps = [[i for i, ids in enumerate(r) if ids is None] for r in rows]
-        self.learn({p[i] for p, g in zip(parts, gaps, strict=True) for i in g})
-        for p, r, g in zip(parts, rows, gaps, strict=True):
-            for i in g:
-                r[i] = get(p[i])
-        out = list(map(b"".join, rows))
-        odd = [i for i, p in enumerate(parts) if p is None]
-        for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
-            out[i] = ids
-        return out
+        self.learn({x for p in parts for x in p or () if x not in self.known})
+        whole = iter(self.whole([t for t, p in zip(texts, parts, strict=True) if p is None]))
+        return [np.frombuffer(next(whole) if p is None else b"".join(map(self.known.__getitem__, p)), self.kind) for p in parts]
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in turn, and where each text's begin (one place more than there are texts)."""
+        if len(self.known) > CACHED:
+            self.known = {w: self.known[w] for w in self.recent} | self.basic
+        texts = texts.cast(pa.large_string()).fill_null("")
+        unsure = pc.match_substring_regex(texts, self.unsure)
+        plain = texts.filter(pc.invert(unsure))
+        if self.keeps_space:
+            plain = pc.if_else(pc.match_substring_regex(plain, PLAIN_AT_LINE), plain, pc.replace_substring(plain, "\n", "\0\n\0"))
+            parts = pc.split_pattern(pc.replace_substring(plain, " ", "\0 "), "\0")
+        else:
+            parts = pc.split_pattern(pc.replace_substring(plain, "\n", " "), " ")
+        segments = parts.flatten().dictionary_encode()
+        words, codes = segments.dictionary.to_pylist(), segments.indices.to_numpy()
+        self.learn({w for w in words if w not in self.known})
+        own = [self.known[w] for w in words]
+        self.recent = words
+        pool = np.frombuffer(b"".join(own), self.kind)
+        sizes = np.array([len(x) for x in own], np.int64) // self.kind.itemsize
+        places = (np.cumsum(sizes) - sizes)[codes]
+        n = sizes[codes]
+        stops = np.concatenate([[0], np.cumsum(n)])
+        ids = pool[np.repeat(places - stops[:-1], n) + np.arange(stops[-1])]
+        offsets = parts.offsets.to_numpy()
+        starts = stops[offsets - offsets[0]]
+        odd = np.flatnonzero(unsure.to_numpy(zero_copy_only=False))
+        if not len(odd):
+            return ids, starts
+        rows = np.empty(len(texts), object)
+        rows[:] = [None] * len(texts)
+        for i, x in zip(odd, self.each(texts.take(pa.array(odd)).to_pylist()), strict=True):
+            rows[i] = x
+        for i, a, b in zip(np.flatnonzero(~np.isin(np.arange(len(texts)), odd)), starts[:-1], starts[1:], strict=True):
+            rows[i] = ids[a:b]
+        return np.concatenate(rows), np.concatenate([[0], np.cumsum([len(x) for x in rows])])
 
 
 ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -155,12 +187,10 @@ def token_files(docs: DataFrame, tokenizer: str, folder: str, length: int = 2048
                 fs.create_dir(root, recursive=True)
                 sink = fs.open_output_stream(f"{name}.tokens.arrow")
                 writer = pa.ipc.new_file(sink, row)
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            end = bytes(enc.kind.itemsize)
-            ids = [x + end for x in enc.encode(texts)]
+            ids, starts = enc.encode(batch.column("text"))
             doc_ids += batch.column("doc_id").to_pylist()
-            counts += [len(x) // len(end) for x in ids]
-            rest = np.concatenate([rest, np.frombuffer(b"".join(ids), enc.kind)])
+            counts += (np.diff(starts) + 1).tolist()
+            rest = np.concatenate([rest, np.insert(ids, starts[1:], 0)])
             if full := len(rest) // length * length:
                 put(rest[:full], full)
                 rest = rest[full:]
@@ -209,7 +239,8 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str, leng
                         yield pa.RecordBatch.from_arrays([part.column("doc_id"), start, part.column("n_tokens"), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     placed = manifest.select("tokens", "index", before.alias("before"))
-    return placed.repartition("tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # A number of its own, so that a short list of files isn't gathered into one reading task.
+    return placed.repartition(max(1, manifest.count()), "tokens").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 class Sequences:
