@@ -155,7 +155,9 @@ def read_bundles(spark: SparkSession, index: DataFrame, folder: str) -> DataFram
                         place += packed
                         yield pa.RecordBatch.from_pylist([row(*x) for x in parse(data)], schema=RECORDS)
 
-    return index.select("bundle").distinct().mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    bundles = index.select("bundle").distinct()
+    # A number of its own, so that a short list of bundles isn't gathered into one reading task.
+    return bundles.repartition(max(1, bundles.count()), "bundle").mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
 RECORDS = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
