@@ -56,3 +56,9 @@ def test_proximity(spark):
     docs = spark.createDataFrame([(1, "a x b y c"), (2, "c b a"), (3, "a " + "z " * 30 + "b c"), (4, None)], "doc_id long, text string")
     items = spark.createDataFrame([(9, "a b c")], "item_id long, text string")
     assert {(r["doc_id"], r["item_id"]) for r in proximity_matches(docs, items, slop=4).collect()} == {(1, "9"), (2, "9")}
+
+
+def test_columns_of_any_name_come_back(spark):
+    docs = spark.createDataFrame([(1, "one two three", 5, "x", "y", "z")], "doc_id long, text string, d long, k string, own string, hits string")
+    items = spark.createDataFrame([("i", "two three")], "item_id string, text string")
+    assert [tuple(r) for r in phrase_matches(docs, items).collect()] == [(1, "one two three", 5, "x", "y", "z", 3, 2, 1, ["i"], True)]

@@ -10,8 +10,9 @@ from tidewell.llm.shared import written
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """``d, k``: doc_id (0 for null) and a hash of the row's id and text, which together name a row's content."""
-    return docs.withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(0))).withColumn("k", F.xxhash64("doc_id", "text"))
+    """``row`` (all columns), ``text`` and ``d, k``: doc_id (0 for null) and a hash of the row's id and text, which together name a row's content."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    return docs.select(row.alias("row"), F.col("text").alias("text"), F.coalesce(F.col("doc_id").cast("long"), F.lit(0)).alias("d"), F.xxhash64("doc_id", "text").alias("k"))
 
 
 def phrases(items: DataFrame, size: int) -> DataFrame:
@@ -72,10 +73,10 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, rare_terms
     Terms are counted over all documents; the places of each window's ``rare_terms`` rarest terms are stored as a positional
     index; lists shifted by the term's offset are intersected; what is left is compared with the document's words. A term that a
     third of all places hold is counted with map-side sums, and becomes a list only where a window has none rarer.
-    Null text: no words. Repeated rows each get the result. No items or no documents: no hits, no rows.
+    All other columns, whatever their names, come back as they were. Null text: no words. Repeated rows each get the result. No items or no documents: no hits, no rows.
     """
     added = ["n_words", "n_hit", "n_items", "items", "contaminated"]
-    base = docs.drop(*added, "hits")
+    base = docs.drop(*added)
     found = phrases(items, size)
     places = candidates(base, found, rare_terms).join(small(found, F.size("terms") * 16 + F.size("items") * 16), "phrase")
     lists = written(places.groupBy("d", "k").agg(F.collect_list(F.struct("start", "terms", "items")).alias("hits")))
@@ -88,7 +89,7 @@ def phrase_matches(docs: DataFrame, items: DataFrame, size: int = 10, rare_terms
     rows = rows.withColumn("n_hit", F.coalesce(union_length(spans), F.lit(0)).cast("long"))
     ids = F.array_sort(F.array_distinct(F.flatten(F.transform("hits", lambda h: h["items"]))))
     rows = rows.withColumn("items", F.coalesce(ids, F.array().cast("array<string>"))).withColumn("n_items", F.size("items").cast("long"))
-    return rows.withColumn("contaminated", F.col("n_hit") > 0).select(*base.columns, *added)
+    return rows.withColumn("contaminated", F.col("n_hit") > 0).select(*(F.col(f"row.`{c}`") for c in base.columns), *added)
 
 
 def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20, size: int = 10) -> DataFrame:
@@ -105,5 +106,5 @@ def proximity_matches(docs: DataFrame, items: DataFrame, slop: int = 20, size: i
         start = F.greatest(h["pos"] + 1 - slop, F.lit(1))
         return F.size(F.array_except(h["terms"], F.slice("own", start, h["pos"] + 1 + slop - start + 1))) == 0
 
-    kept = rows.select("doc_id", F.explode(F.filter("near", close)).alias("h"))
+    kept = rows.select("row.doc_id", F.explode(F.filter("near", close)).alias("h"))
     return kept.select("doc_id", F.explode("h.items").alias("item_id"), "h.pos").distinct()
