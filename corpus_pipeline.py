@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import decontamination, near_dedup, packing, suffix_dedup, toxicity
 from tidewell.llm.queries import read, remainder, tokenizer_path
-from tidewell.llm.shared import written
+from tidewell.llm.shared import dealt, written
 
-#: Bytes of the least repeated string that the suffix stage removes: under 50 words of the corpus's 6.5 bytes.
+#: Bytes of the least repeated string that the suffix stage removes: under 50 words of 4.8 bytes, blank included (the corpus has 6.5).
 REPEAT_BYTES = 240
 
 
@@ -24,13 +24,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of five-word shingle sets with similarity 0.8 or more: the least doc_id.
+    """One row of each group of five-word shingle sets with similarity 0.8 or more: the least doc_id, null last.
 
-    Of rows that share a doc_id one stays. Rows without a doc_id stay if nothing else is in their group.
+    Rows are told apart by a number of their own, so rows that share a doc_id but not their text are judged each.
     """
-    kept = near_dedup.near_duplicates(docs, size=5, percent=80).where("kept").select(F.col("doc_id").alias("kept_id")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    return rows.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(rows.where("doc_id is null")).select(*docs.columns)
+    rows = written(docs.withColumn("tidewell row", F.monotonically_increasing_id()))
+    number = F.col("`tidewell row`").alias("row")
+    groups = near_dedup.near_duplicates(rows.select(number.alias("doc_id"), "text"), size=5, percent=80).select(F.col("doc_id").alias("row"), "component_id")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    first = rows.select(number, "doc_id").join(dealt(groups), "row").groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.row").alias("tidewell row"))
+    return rows.join(dealt(first), "tidewell row", "left_semi").select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
