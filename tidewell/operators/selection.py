@@ -32,8 +32,16 @@ def front_score(bottom: Column, height: Column, area: Column, group: str) -> Col
     return 0.6 * bottom / F.greatest(height - 1, F.lit(1)) + 0.4 * area / F.when(top == 0, 1).otherwise(top)
 
 
-def ambiguous(df: DataFrame, group: str, value: Column, key: str, relative: float) -> DataFrame:
-    """``df`` with ``unsure``: a neighbour in the order of ``value`` is within the ``relative`` difference."""
+def with_position_keys(boxes: DataFrame, group: str, width: float, height: float) -> DataFrame:
+    """``boxes`` with ``by_left, by_right, by_center, by_largest, by_smallest, by_front, by_back``: sort keys, the first in each order being the least."""
+    cx, cy, area = (F.col("x0") + F.col("x1")) / 2, (F.col("y0") + F.col("y1")) / 2, (F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))
+    front = front_score(F.col("y1"), F.lit(height), area, group)
+    keys = {"left": cx, "right": -cx, "center": F.abs(cx - width / 2) + F.abs(cy - height / 2), "largest": -area, "smallest": area, "front": -front, "back": front}
+    return boxes.withColumns({f"by_{name}": F.round(key, 6) for name, key in keys.items()})
+
+
+def ambiguous(df: DataFrame, group: str, value: Column, key: str, relative: float, absolute: float = 0.0) -> DataFrame:
+    """``df`` with ``unsure``: a neighbour in the order of ``value`` is within the ``absolute`` or the ``relative`` difference."""
     w = Window.partitionBy(group).orderBy(value, key)
-    near = [F.abs(value - other) / F.greatest(value, other, F.lit(1e-9)) < relative for other in (F.lag(value).over(w), F.lead(value).over(w))]
+    near = [(F.abs(value - other) < absolute) | (F.abs(value - other) / F.greatest(value, other, F.lit(1e-9)) < relative) for other in (F.lag(value).over(w), F.lead(value).over(w))]
     return df.withColumn("unsure", F.coalesce(near[0], F.lit(False)) | F.coalesce(near[1], F.lit(False)))
