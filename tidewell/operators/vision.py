@@ -68,7 +68,7 @@ def side_by_side(left: DataFrame, right: DataFrame, group: str, keys: list[str])
 def best_overlap(preds: DataFrame, truths: DataFrame, group: str, key: str, least: float = 0.5) -> DataFrame:
     """``group, key, best, found`` of each truth: the largest overlap with a prediction, and whether it reaches ``least``."""
     pairs = side_by_side(truths, preds, group, [key]).groupBy(group, F.col(f"a_{key}").alias(key)).agg(F.max(iou("a_", "b_")).alias("best"))
-    return truths.select(group, key).join(pairs, [group, key], "left").withColumn("best", F.coalesce("best", F.lit(0.0))).withColumn("found", F.col("best") >= least)
+    return truths.select(group, key).distinct().join(pairs, [group, key], "left").withColumn("best", F.coalesce("best", F.lit(0.0))).withColumn("found", F.col("best") >= least)
 
 
 def unmatched(preds: DataFrame, truths: DataFrame, group: str, key: str, least: float = 0.5) -> DataFrame:
