@@ -190,3 +190,60 @@ def instruction_records(cases: DataFrame, template: str) -> DataFrame:
     rows = cases.withColumn("_answer", answer).where(F.col("_answer").isNotNull() & (F.trim(F.coalesce("prompt", F.lit(""))) != ""))
     text = F.replace(F.replace(F.lit(template), F.lit("{prompt}"), F.trim("prompt")), F.lit("{response}"), F.col("_answer"))
     return rows.select("case_id", text.alias("line"))
+
+
+def with_default_source(rows: DataFrame, default: str = "pseudo", vote: str = "like") -> DataFrame:
+    """Pseudo-labels: no source, or the user's, becomes ``default``; no vote becomes ``vote``."""
+    source = F.when(F.col("source").isNull() | (F.col("source") == "user"), default).otherwise(F.col("source"))
+    return rows.withColumn("source", source).withColumn("vote", F.coalesce("vote", F.lit(vote)))
+
+
+def vote_summary(cases: DataFrame, usable: Column, image: Column) -> DataFrame:
+    """One row: cases, records, skipped, with_image, and the votes with their numbers as sorted text."""
+    votes = cases.groupBy(F.coalesce("vote", F.lit("none")).alias("v")).agg(F.count("*").alias("n"), F.count_if(usable).alias("u"), F.count_if(image).alias("i"))
+    listed = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("v", "n"))), lambda x: F.concat(x["v"], F.lit(":"), x["n"].cast("string"))), ",")
+    return votes.agg(F.sum("n").alias("cases"), F.sum("u").alias("records"), (F.sum("n") - F.sum("u")).alias("skipped"), F.sum("i").alias("with_image"), listed.alias("votes"))
+
+
+def template_corpus(words: DataFrame, templates: dict[str, int], key: str, word: str, seed: int = 0) -> DataFrame:
+    """A text per word, its template picked by hash with the templates' weights. ``{}`` is the word's place."""
+    total, upto, pick = sum(templates.values()), 0, None
+    at = F.pmod(F.crc32(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), F.lit(total))
+    for template, weight in templates.items():
+        upto += weight
+        text = F.replace(F.lit(template), F.lit("{}"), F.col(word))
+        pick = F.when(at < upto, text) if pick is None else pick.when(at < upto, text)
+    return words.select(key, pick.alias("text"))
+
+
+def replay_mix(hard: DataFrame, rest: DataFrame, evaluation: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """``key, stream``: hard cases and a hash-picked ``share`` of the others, none of them in the evaluation set."""
+    bucket = F.pmod(F.crc32(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), F.lit(1000))
+    others = rest.join(hard.select(key), key, "left_anti").where(bucket < int(share * 1000))
+    mixed = hard.select(key, F.lit("hard").alias("stream")).unionByName(others.select(key, F.lit("replay").alias("stream")))
+    return mixed.join(evaluation.select(key).distinct(), key, "left_anti")
+
+
+def review_cases(rows: DataFrame, key: str, score: str, least: float, most: float) -> DataFrame:
+    """Cases worth a look: pending ones with a score from ``least`` to below ``most``."""
+    return rows.where((F.col("status") == "pending") & (F.col(score) >= least) & (F.col(score) < most)).select(key, score)
+
+
+def class_prompts(labels: DataFrame, key: str, label: str, templates: list[str], seed: int = 0) -> DataFrame:
+    """``key, text``: one sentence per image over its different classes, its template picked by hash."""
+    names = labels.groupBy(key).agg(F.array_join(F.sort_array(F.collect_set(label)), " and ").alias("_names"))
+    at = F.pmod(F.crc32(F.concat(F.col(key).cast("string"), F.lit(f"/{seed}"))), F.lit(len(templates))).cast("int")
+    return names.select(key, F.replace(F.element_at(F.array(*map(F.lit, templates)), at + 1), F.lit("{}"), F.col("_names")).alias("text"))
+
+
+def vision_accepted(candidate: DataFrame, base: DataFrame, map_drop: float, hard: list[str], most_map_drop: float = 0.005, step: float = 0.02) -> DataFrame:
+    """One row: whether a detector is taken. Both: ``scenario, pick, leak`` as shares, null where not measured.
+
+    Refused if the general score drops by more than ``most_map_drop``, or in any scenario picks drop or leaks rise by more
+    than ``step``; taken if a hard scenario gains more than ``step`` in either.
+    """
+    rows = candidate.join(base.select("scenario", F.col("pick").alias("p0"), F.col("leak").alias("l0")), "scenario")
+    worse = F.coalesce(F.col("pick") < F.col("p0") - step, F.lit(False)) | F.coalesce(F.col("leak") > F.col("l0") + step, F.lit(False))
+    gain = F.coalesce(F.col("leak") < F.col("l0") - step, F.lit(False)) | (F.coalesce("pick", F.lit(0.0)) > F.coalesce("p0", F.lit(0.0)) + step)
+    out = rows.agg(F.count_if(worse).alias("worse"), F.count_if(gain & F.col("scenario").isin(*hard)).alias("better"))
+    return out.withColumn("accepted", F.lit(map_drop <= most_map_drop) & (F.col("worse") == 0) & (F.col("better") > 0))

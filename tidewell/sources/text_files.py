@@ -69,3 +69,44 @@ def safe_names(files: DataFrame, key: str, name: str) -> DataFrame:
     place = F.row_number().over(Window.partitionBy(name).orderBy(key))
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
     return files.withColumn("out_name", F.when(place == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), place.cast("string"), ext)))
+
+
+def coco_images(spark: SparkSession, path: str) -> DataFrame:
+    """``image_id, file_name, width, height, annotations`` of COCO files: one row per image with the list of its annotations."""
+    schema = (
+        "images array<struct<id:long,file_name:string,width:int,height:int>>, categories array<struct<id:long,name:string>>, "
+        "annotations array<struct<image_id:long,category_id:long,bbox:array<double>,area:double,iscrowd:int>>"
+    )
+    files = spark.read.schema(schema).json(path, multiLine=True).withColumn("file", F.input_file_name())
+    images = files.select("file", F.explode("images").alias("i")).select("file", F.col("i.id").alias("image_id"), "i.file_name", "i.width", "i.height")
+    names = files.select("file", F.explode("categories").alias("c")).select("file", F.col("c.id").alias("category_id"), F.col("c.name").alias("label"))
+    notes = files.select("file", F.explode("annotations").alias("a")).select("file", "a.*").where("coalesce(iscrowd, 0) = 0").join(names, ["file", "category_id"], "left")
+    lists = notes.groupBy("file", "image_id").agg(F.sort_array(F.collect_list(F.struct("label", "area", "bbox"))).alias("annotations"))
+    return images.join(lists, ["file", "image_id"], "left").drop("file")
+
+
+def polygon_lines(lines: DataFrame, key: str, text: str, mapping: dict[int, int]) -> DataFrame:
+    """``key, cls, points`` from label lines ``cls x1 y1 x2 y2 ...``; lines under seven tokens and classes without a match go."""
+    rows = lines.select(key, F.explode(F.split(text, "\n")).alias("_line")).select(key, F.split(F.trim("_line"), r"\s+").alias("_t")).where(F.size("_t") >= 7)
+    table = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
+    cls = F.element_at(table, F.get("_t", F.lit(0)).try_cast("int"))
+    points = F.transform(F.slice("_t", 2, F.size("_t") - 1), lambda x: x.try_cast("double"))
+    return rows.select(key, cls.alias("cls"), points.alias("points")).where("cls is not null")
+
+
+def owner_folders(spark: SparkSession, path: str, user: str) -> DataFrame:
+    """The folders whose ``owner.json`` names a user."""
+    rows = spark.read.schema("user_id string").json(path, multiLine=True).withColumn("folder", F.regexp_extract(F.input_file_name(), r"([^/]*)/[^/]*$", 1))
+    return rows.where(F.col("user_id") == user).select("folder")
+
+
+def write_json_lines(df: DataFrame, path: str) -> None:
+    """One JSON object a line, nulls left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def run_manifest(records: DataFrame, kind: str, key: str, most: int = 5) -> DataFrame:
+    """One line of JSON: how many records of each kind a run made, and the first ``most`` as samples."""
+    counts = records.groupBy(kind).agg(F.count("*").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(kind, "n")))).alias("counts"), F.sum("n").alias("records"))
+    shown = records.orderBy(key).limit(most).agg(F.sort_array(F.collect_list(F.struct(key, kind))).alias("samples"))
+    return counts.crossJoin(F.broadcast(shown)).select(F.to_json(F.struct("records", "counts", "samples")).alias("manifest"))

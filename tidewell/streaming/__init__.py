@@ -1 +1 @@
-"""See the modules."""
+"""Streams: folds by key with state, counts by window with watermarks."""
