@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import dot, each, tokens, unit, with_gram_set, with_hashed_grams, with_padded_grams
+from tidewell.functions.text import each, padded, tokens, with_gram_set, with_hashed_grams, with_padded_grams
+from tidewell.operators import scoring
 
 #: Rows up to which the query side of a join is broadcast; beyond, it is dealt by key.
 BROADCAST_ROWS = 200_000
@@ -35,6 +36,20 @@ def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 3, min_score: float
 
     ``docs``: ``doc_id, text`` and what ``priority`` needs; ``queries``: ``query_id, text``. The norm of a document is over all its
     grams, that of a query also over grams no document has. ``min_score`` tests the raw score; places go by the
+    score rounded to 4 places, then ``priority``, then doc_id. Grams are counted within their row: one pass counts documents by
+    gram, one scores rows against all queries and keeps each task's best. Beyond a counted bound of grams or queries, joins do the same.
+    """
+    rank = F.lit(0) if priority is None else priority
+    rows = docs.select("doc_id", rank.alias("rank"), padded(F.col("text")).alias("padded"))
+    best = scoring.tfidf_best(rows, queries.select("query_id", padded(F.col("text")).alias("padded")), k, min_score)
+    return tfidf_joined(docs, queries, k, min_score, priority) if best is None else scoring.placed(best, "doc_id", k, "rank")
+
+
+def tfidf_joined(docs: DataFrame, queries: DataFrame, k: int = 3, min_score: float = 0.0, priority: Column | None = None) -> DataFrame:
+    """``query_id, doc_id, score, place``: the best documents by cosine of gram TF-IDF weights ``(1 + ln tf) * idf``.
+
+    The way for more grams or queries than a task can hold. ``docs``: ``doc_id, text`` and what ``priority`` needs; ``queries``: ``query_id, text``. The norm of a document is over all its
+    grams, that of a query also over grams no document has. ``min_score`` tests the raw score; places go by the
     score rounded to 4 places, then ``priority``, then doc_id. Documents are counted once; only their grams that some query
     has meet the queries, and places are cut to ``k`` per task before the last shuffle.
     """
@@ -65,37 +80,20 @@ def tfidf_topk(docs: DataFrame, queries: DataFrame, k: int = 3, min_score: float
     return placed.where(F.col("place") <= k).select("query_id", "doc_id", "score", "place")
 
 
-def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, min_score: float = -1.0, block: int = 64) -> DataFrame:
+def vector_topk(vectors: DataFrame, queries: DataFrame, k: int = 5, min_score: float = -1.0) -> DataFrame:
     """``query_id, vec_id, score, place``: nearest vectors by cosine, computed exactly.
 
-    ``vectors``: ``vec_id, embedding``; ``queries``: ``query_id, embedding``. The queries are a stated set, packed in blocks of
-    ``block`` vectors and met by every vector; each row keeps its ``k`` best queries' places only after the ranked
-    window, which Spark cuts per task. A vector doesn't meet the query of its own id.
+    ``vectors``: ``vec_id, embedding``; ``queries``: ``query_id, embedding``. The queries are a stated set; each task multiplies its rows with
+    the block of them and gives its best for each. A vector doesn't meet the query of its own id.
     """
-    q = queries.select("query_id", unit(F.col("embedding").cast("array<double>")).alias("q"))
-    blocks = q.groupBy(F.pmod(F.xxhash64("query_id"), F.lit(max(1, queries.count() // block))).alias("b")).agg(F.collect_list(F.struct("query_id", "q")).alias("block"))
-    rows = vectors.select("vec_id", unit(F.col("embedding").cast("array<double>")).alias("v")).join(small(blocks, BROADCAST_ROWS // block), F.lit(True))
-    scored = rows.select("vec_id", F.explode(F.transform("block", lambda x: F.struct(x["query_id"].alias("query_id"), dot(F.col("v"), x["q"]).alias("raw")))).alias("s"))
-    scored = scored.select("vec_id", "s.query_id", "s.raw").where((F.col("raw") >= min_score) & (F.col("vec_id") != F.col("query_id")))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    placed = scored.withColumn("score", F.round("raw", 4)).withColumn("place", F.row_number().over(order))
-    return placed.where(F.col("place") <= k).select("query_id", "vec_id", "score", "place")
+    return scoring.placed(scoring.dense_best(vectors, queries, "vec_id", "embedding", k, min_score, scoring.vectors, False), "vec_id", k)
 
 
 def hash_topk(docs: DataFrame, queries: DataFrame, k: int = 3, min_score: float = 0.55, width: int = 256) -> DataFrame:
-    """``query_id, doc_id, score, place`` by cosine of hashed gram counts."""
-
-    def weights(df: DataFrame, key: str) -> DataFrame:
-        counts = with_hashed_grams(df.select(key, "text"), "text", "cells", width).select(key, each("cells").alias("cell")).groupBy(key, "cell").agg(F.log1p(F.count("*").cast("double")).alias("w"))
-        norms = counts.groupBy(key).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.collect_list(F.struct("cell", "w")).alias("cells"))
-        return norms.select(key, F.explode("cells").alias("c"), "norm").select(key, "c.cell", (F.col("c.w") / F.col("norm")).alias("w"))
-
-    q = weights(queries, "query_id").groupBy("cell").agg(F.collect_list(F.struct("query_id", "w")).alias("qs"))
-    both = weights(docs, "doc_id").join(small(q), "cell").select("doc_id", "w", F.explode("qs").alias("q"))
-    scores = both.groupBy("q.query_id", "doc_id").agg(F.sum(F.col("w") * F.col("q.w")).alias("raw")).where(F.col("raw") >= min_score)
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
-    placed = scores.withColumn("score", F.round("raw", 4)).withColumn("place", F.row_number().over(order))
-    return placed.where(F.col("place") <= k).select("query_id", "doc_id", "score", "place")
+    """``query_id, doc_id, score, place`` by cosine of hashed gram counts, ``log1p`` of each cell's."""
+    d, q = (with_hashed_grams(df.select(key, "text"), "text", "cells", width) for df, key in ((docs, "doc_id"), (queries, "query_id")))
+    best = scoring.dense_best(d, q, "doc_id", "cells", k, min_score, scoring.cell_vectors(width), True).where("raw > 0")
+    return scoring.placed(best, "doc_id", k)
 
 
 def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
@@ -105,17 +103,20 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     replaced by 0, so a score is never below that of a document without the token. A token counts as often as the query has it.
     """
     words = docs.select("doc_id", tokens(F.col("text")).alias("t"))
-    sizes = words.select("doc_id", F.size("t").alias("size"))
-    totals = sizes.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-    n, mean = totals["n"], totals["mean"] or 1.0
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
-    wanted = small(asked.select("token").distinct())
-    counts = words.select("doc_id", F.size("t").alias("size"), each("t").alias("token")).join(wanted, "token").groupBy("doc_id", "token", "size").agg(F.count("*").alias("tf"))
-    found = counts.groupBy("token").agg(F.count("*").alias("df"))
+    distinct = asked.select("token").distinct()
+    wanted = [r["token"] for r in distinct.limit(BROADCAST_ROWS + 1).collect()]
+    if len(wanted) > BROADCAST_ROWS:
+        raise ValueError("too many different tokens in the queries: search in parts")
+    sizes = words.select(F.size("t").alias("size")).agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
+    n, mean = sizes["n"], sizes["mean"] or 1.0
+    counts = scoring.token_counts(words, sorted(wanted))
+    names = docs.sparkSession.createDataFrame(list(enumerate(sorted(wanted))), "number long, token string")
+    found = counts.groupBy(F.col("token").alias("number")).agg(F.count("*").alias("df"))
     weight = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
-    q = asked.join(found, "token").select("query_id", "token", (weight * F.col("qtf")).alias("qw"))
+    q = asked.join(F.broadcast(names), "token").join(F.broadcast(found), "number").select("query_id", "number", (weight * F.col("qtf")).alias("qw"))
     part = F.col("qw") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
-    return counts.join(small(q), "token").groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))
+    return counts.withColumnRenamed("token", "number").join(small(q), "number").groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))
 
 
 def scaled(scores: DataFrame, value: str) -> DataFrame:
