@@ -1,35 +1,19 @@
 """Retrieval operators without SQL, against plain Python."""
 
-import math
-import re
-import zlib
-from collections import Counter
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidewell.operators import retrieval
 from tidewell.sources import text_files
 
-TEXTS = ["Keep the red dog and blur the rest", "keep the  red dogs", "사람만 남기고 배경 제거", "remove a car", "x", "", "zebra crossing with a truck"]
-
-
-def vector(text):
-    form = "".join(text.lower().split())
-    grams = [form[i : i + n] for n in (2, 3) for i in range(len(form) - n + 1)] or [form or "empty"]
-    cells = Counter(zlib.crc32(g.encode()) % 256 for g in grams)
-    w = {c: math.log1p(n) for c, n in cells.items()}
-    size = math.sqrt(sum(x * x for x in w.values()))
-    return {c: x / size for c, x in w.items()}
-
-
 def test_hash_topk(spark):
-    docs = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
-    queries = spark.createDataFrame([(1, "keep the red dog"), (2, "배경 제거"), (3, "")], "query_id long, text string")
-    got = {(r["query_id"], r["place"]): (r["doc_id"], r["score"]) for r in retrieval.hash_topk(docs, queries, 2, 0.3).collect()}
-    want = {}
-    for q in queries.collect():
-        a = vector(q["text"])
-        hits = sorted((-round(sum(w * b.get(c, 0) for c, w in a.items()), 4), i) for i, b in enumerate(map(vector, TEXTS)))
-        want |= {(q["query_id"], k + 1): (i, -s) for k, (s, i) in enumerate(hits[:2]) if -s >= 0.3}
-    assert {k: (d, round(s, 3)) for k, (d, s) in got.items()} == {k: (d, round(s, 3)) for k, (d, s) in want.items()}
+    """Texts alike without blanks and case have score 1, texts without a common gram no hit; an empty or null text meets empty ones."""
+    docs = spark.createDataFrame([(1, "Keep the RED dog"), (2, "keepthered dog"), (3, "zzzz"), (4, ""), (5, "x"), (6, "keep the red dogs and a cat"), (7, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "keep the red dog"), (2, ""), (3, "x"), (4, "配")], "query_id long, text string")
+    got = [tuple(r) for r in retrieval.hash_topk(docs, queries, 3, 0.3).orderBy("query_id", "place").collect()]
+    assert [r[:3] for r in got if r[0] == 1] == [(1, 1, 1.0), (1, 2, 1.0), (1, 6, got[2][2])] and 0.6 < got[2][2] < 1
+    assert [r[:3] for r in got if r[0] > 1] == [(2, 4, 1.0), (2, 7, 1.0), (3, 5, 1.0)]
 
 
 def test_one_more(spark):
@@ -40,23 +24,23 @@ def test_one_more(spark):
     assert got == [(1, 1, 7), (1, 2, 8), (1, 3, 9), (2, 1, 5)]
 
 
-def plain_chunks(text):
-    out = []
-    for k, part in enumerate(re.split(r"\n(?=#{1,3} )", text)):
-        part = part.strip()
-        if len(part) < 30:
-            continue
-        title = part.split("\n")[0].lstrip("# ").strip()[:120]
-        cut = [part] if len(part) <= 1100 else [part[i : i + 900] for i in range(0, len(part), 720)]
-        out += [(k, j, title, w if w.startswith("#") else f"{title}\n{w}") for j, w in enumerate(cut)]
-    return out
+def test_chunks_by_hand(spark):
+    body = "0123456789" * 100
+    docs = spark.createDataFrame([(1, f"# First\n{body}\n## Second\nshort"), (2, "## A heading that is long enough\nline"), (3, "tiny"), (4, None), (5, f"Long\n{body}{body[:200]}")], "doc_id long, text string")
+    got = {(r["doc_id"], r["section"], r["part"]): (r["title"], r["text"]) for r in text_files.chunks(docs).collect()}
+    assert got.keys() == {(1, 0, 0), (2, 0, 0), (5, 0, 0), (5, 0, 1)}
+    assert got[1, 0, 0] == ("First", f"# First\n{body}") and got[2, 0, 0] == ("A heading that is long enough", "## A heading that is long enough\nline")
+    assert got[5, 0, 0] == ("Long", f"Long\nLong\n{body[:895]}") and got[5, 0, 1][1] == f"Long\n{(body + body)[715:1200]}"
 
 
-def test_chunks(spark):
-    texts = ["# A title\n" + "word " * 400 + "\n## Next\nshort\n### Third part\n" + "y" * 1100, "no heading " * 20, "", None, "tiny", "a" * 1100, "b" * 1101]
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = sorted(tuple(r) for r in text_files.chunks(docs).collect())
-    assert got == sorted((i, *c) for i, t in enumerate(texts) for c in plain_chunks(t or ""))
+@settings(max_examples=12, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.integers(1101, 4000))
+def test_windows_cover_the_text(spark, n):
+    """Windows of 900 characters, of which the next repeats the last 180, put together are the text."""
+    text = "".join(chr(97 + k * k % 26) for k in range(n))
+    rows = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    parts = [r["w"] for r in rows.select(F.posexplode(text_files.windows(F.col("text"))).alias("k", "w")).orderBy("k").collect()]
+    assert all(len(p) <= 900 for p in parts) and parts[0] + "".join(p[180:] for p in parts[1:]) == text
 
 
 def test_context(spark):

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 #: White space as Python's ``str.split`` sees it; Java's class lacks U+001C to U+001F.
 SPACE = r"[\s\x1c-\x1f\x85\p{Z}]+"
+# What counts as a token, and as a phrase, of lower-cased text.
+TOKEN = "([가-힣]{2,}|[A-Za-z0-9_.:/-]{2,})"
+PHRASE = "([가-힣]{2,}|[a-z0-9_.:/-]{3,})"
 
 
 def normal(text: Column) -> Column:
@@ -76,8 +79,9 @@ def with_hashed_grams(df: DataFrame, text: str, name: str, width: int) -> DataFr
 
 def tokens(text: Column) -> Column:
     """Runs of two or more Hangul syllables or of ASCII letters, digits and ``_.:/-``; ``empty`` if there are none."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("([가-힣]{2,}|[A-Za-z0-9_.:/-]{2,})"), F.lit(1))
-    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("empty")))
+    found = F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(1))
+    # Bound by a lambda, so that the pattern is run once a row.
+    return F.get(F.transform(F.array(found), lambda t: F.when(F.size(t) > 0, t).otherwise(F.array(F.lit("empty")))), F.lit(0))
 
 
 def overlap(query: Column, other: Column) -> Column:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from tidewell.functions.text import SPACE
 
 
+# Fixed value: how a question that leans on the one before begins.
+FOLLOW_UP = "^(그|저|왜|그럼|더|자세히|그건|그게)"
+
+
 def trimmed(text):
     return F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
 
@@ -31,5 +35,5 @@ def focused(turns: DataFrame, short: int = 16) -> DataFrame:
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
     rows = rows.withColumn("before", F.coalesce(before, F.lit("")))
     both = F.trim(F.concat("before", F.lit(" "), "text"))
-    follows = (F.length("text") < short) | F.col("text").rlike("^(그|저|왜|그럼|더|자세히|그건|그게)")
+    follows = (F.length("text") < short) | F.col("text").rlike(FOLLOW_UP)
     return rows.select("conv_id", "turn", F.when(follows & (F.col("before") != ""), both).otherwise(F.col("text")).alias("focus"))

@@ -176,7 +176,7 @@ def label_issues(images: DataFrame, labels: DataFrame, n_classes: int) -> DataFr
 
 def remapped(labels: DataFrame, mapping: DataFrame) -> DataFrame:
     """Labels with the class numbers of another vocabulary; classes without a match go. ``mapping``: ``cls, new_cls``."""
-    return labels.join(F.broadcast(mapping), "cls").withColumn("cls", F.col("new_cls")).drop("new_cls")
+    return labels.join(mapping, "cls").withColumn("cls", F.col("new_cls")).drop("new_cls")
 
 
 def instruction_records(cases: DataFrame, template: str) -> DataFrame:

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import each, padded, tokens, with_gram_set, with_hashed_grams, with_padded_grams
+from tidewell.functions.text import PHRASE, each, padded, tokens, with_gram_set, with_hashed_grams, with_padded_grams
 from tidewell.operators import scoring
 
+# The shares of each part in the blended scores (MEMORY: BM25, overlap, recall; CHUNK: BM25, text, title, phrases).
+MEMORY, CHUNK = (0.42, 0.36, 0.22), (0.46, 0.28, 0.14, 0.12)
 #: Rows up to which the query side of a join is broadcast; beyond, it is dealt by key.
 BROADCAST_ROWS = 200_000
 
@@ -108,13 +110,13 @@ def bm25(docs: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75)
     wanted = [r["token"] for r in distinct.limit(BROADCAST_ROWS + 1).collect()]
     if len(wanted) > BROADCAST_ROWS:
         raise ValueError("too many different tokens in the queries: search in parts")
-    sizes = words.select(F.size("t").alias("size")).agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-    n, mean = sizes["n"], sizes["mean"] or 1.0
+    # Sums per token, and under -1 the number of rows and of all tokens, in one pass; at most a row per wanted token is fetched.
+    sums = {r["token"]: r for r in scoring.token_sums(words, sorted(wanted)).collect()}
+    n, mean = (sums[-1]["df"], sums[-1]["total"] / sums[-1]["df"] or 1.0) if -1 in sums and sums[-1]["df"] else (0, 1.0)
     counts = scoring.token_counts(words, sorted(wanted))
-    names = docs.sparkSession.createDataFrame(list(enumerate(sorted(wanted))), "number long, token string")
-    found = counts.groupBy(F.col("token").alias("number")).agg(F.count("*").alias("df"))
+    found = docs.sparkSession.createDataFrame([(k, w, sums[k]["df"]) for k, w in enumerate(sorted(wanted)) if k in sums], "number long, token string, df long")
     weight = F.greatest(F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(0.0))
-    q = asked.join(F.broadcast(names), "token").join(F.broadcast(found), "number").select("query_id", "number", (weight * F.col("qtf")).alias("qw"))
+    q = asked.join(F.broadcast(found), "token").select("query_id", "number", (weight * F.col("qtf")).alias("qw"))
     part = F.col("qw") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("size") / mean))
     return counts.withColumnRenamed("token", "number").join(small(q), "number").groupBy("query_id", "doc_id").agg(F.sum(part).alias("bm25"))
 
@@ -140,7 +142,7 @@ def memory_blend(docs: DataFrame, queries: DataFrame, k: int = 2, min_score: flo
         pairs = own.join(small(by_gram), "g").select("doc_id", F.explode("qs").alias("q"))
         grams[name] = pairs.groupBy("q.query_id", "doc_id").agg((F.count("*") / F.max("q.size")).alias(name))
     both = grams["overlap"].join(grams["recall"], ["query_id", "doc_id"], "full").join(lexical, ["query_id", "doc_id"], "left")
-    score = 0.42 * F.coalesce("bm25", F.lit(0.0)) + 0.36 * F.coalesce("overlap", F.lit(0.0)) + 0.22 * F.coalesce("recall", F.lit(0.0))
+    score = sum((w * F.coalesce(c, F.lit(0.0)) for w, c in zip(MEMORY, ("bm25", "overlap", "recall"), strict=True)), F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("doc_id"))
     placed = both.select("query_id", "doc_id", score.alias("raw")).where(F.col("raw") >= min_score).withColumn("score", F.round("raw", 4))
     return placed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "doc_id", "score", "place")
@@ -183,7 +185,7 @@ def context(hits: DataFrame, per_source: int = 2, least_kept: int = 3, floor: fl
 
 def chunk_score(bm25_: Column, text_overlap: Column, title_overlap: Column, phrases: Column, bonus: Column, weight: Column) -> Column:
     """The blended score of a chunk for a query."""
-    return weight * (0.46 * bm25_ + 0.28 * text_overlap + 0.14 * title_overlap + 0.12 * phrases + bonus)
+    return weight * (sum((w * c for w, c in zip(CHUNK, (bm25_, text_overlap, title_overlap, phrases), strict=True)), F.lit(0.0)) + bonus)
 
 
 def shared_pairs(own: DataFrame, q: DataFrame) -> DataFrame:
@@ -201,7 +203,7 @@ def document_blend(chunks: DataFrame, queries: DataFrame, k: int = 8) -> DataFra
     so it shares a gram too: grams and title grams give all pairs.
     """
     lexical = scaled(bm25(chunks.select(F.col("chunk_id").alias("doc_id"), "text"), queries), "bm25").withColumnRenamed("doc_id", "chunk_id")
-    phrases = F.array_distinct(F.regexp_extract_all(F.lower("qtext"), F.lit("([가-힣]{2,}|[a-z0-9_.:/-]{3,})"), F.lit(1)))
+    phrases = F.regexp_extract_all(F.lower("qtext"), F.lit(PHRASE), F.lit(1))
     q = with_gram_set(queries.select("query_id", F.col("text").alias("qtext")), F.col("qtext"), "qg")
     q = with_gram_set(q, F.array_join(F.slice(tokens(F.col("qtext")), 1, 12), " "), "tg").select("query_id", "qg", "tg", phrases.alias("phrases"))
     own = with_gram_set(chunks.select("chunk_id", "text"), F.col("text"), "g")

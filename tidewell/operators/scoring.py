@@ -213,3 +213,22 @@ def token_counts(words: DataFrame, wanted: list[str]) -> DataFrame:
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "size", "token", "tf"])
 
     return words.mapInArrow(run, f"doc_id {words.schema['doc_id'].dataType.simpleString()}, size long, token long, tf long")
+
+
+def token_sums(words: DataFrame, wanted: list[str]) -> DataFrame:
+    """``token, df, total`` over ``doc_id, t``: rows that have each wanted token; under token -1 all rows and all tokens."""
+    shared = words.sparkSession.sparkContext.broadcast(pa.array(wanted, pa.string()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, df, rows, total = shared.value, np.zeros(len(shared.value), np.int64), 0, 0
+        for batch in batches:
+            sizes = pc.list_value_length(batch.column("t")).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = pc.index_in(batch.column("t").flatten(), value_set=known)
+            hit = place.is_valid().to_numpy(zero_copy_only=False)
+            pairs = np.unique(np.repeat(np.arange(len(sizes)), sizes)[hit] * max(1, len(known)) + place.drop_null().to_numpy())
+            df += np.bincount(pairs % max(1, len(known)), minlength=len(known))
+            rows, total = rows + len(sizes), total + int(sizes.sum())
+        token = np.flatnonzero(df)
+        yield pa.RecordBatch.from_pydict({"token": pa.array([-1, *token], pa.int64()), "df": pa.array([rows, *df[token]], pa.int64()), "total": pa.array([total] + [0] * len(token), pa.int64())})
+
+    return words.mapInArrow(run, "token long, df long, total long").groupBy("token").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))

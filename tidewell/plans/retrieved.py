@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import TOKEN
 from tidewell.operators import chat, retrieval
 from tidewell.sources import text_files
 from tidewell.sources.tables import table
@@ -106,7 +107,7 @@ scores AS (SELECT item_id AS query_id, doc_id, round(sum(dw.w * qw.w) / any_valu
   FROM dw JOIN qw USING (gram) JOIN dn USING (doc_id) JOIN qn USING (item_id) GROUP BY 1, 2),
 hits AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INT) AS place FROM scores)"""
 
-TOKENS = "CASE WHEN len(regexp_extract_all(lower(text), '([가-힣]{2,}|[A-Za-z0-9_.:/-]{2,})')) > 0 THEN regexp_extract_all(lower(text), '([가-힣]{2,}|[A-Za-z0-9_.:/-]{2,})') ELSE ['empty'] END"
+TOKENS = f"CASE WHEN len(regexp_extract_all(lower(text), '{TOKEN}')) > 0 THEN regexp_extract_all(lower(text), '{TOKEN}') ELSE ['empty'] END"
 COMPACT = "regexp_replace(lower(text), '\\s+', '', 'g')"
 BM25_SQL = f"""t AS (SELECT doc_id, {TOKENS} AS t FROM documents), n AS (SELECT count(*) AS n, avg(len(t)) AS mean FROM t),
 tf AS (SELECT doc_id, token, any_value(size) AS size, count(*) AS tf FROM (SELECT doc_id, len(t) AS size, unnest(t) AS token FROM t) GROUP BY 1, 2),
