@@ -23,7 +23,7 @@ TOKEN_BYTES = 4 << 20
 #: Low bits that hold a place while anchors are chosen; portions of text are shorter than two to that power.
 PLACE = np.uint64(24)
 #: Parts into which the windows of a segment are cut when its leading token is made longer.
-CUTS = 8
+CUTS = 4
 STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 #: Bytes that one character of the local multikey sort stands for.
 CHARACTER = 80
@@ -139,19 +139,19 @@ def anchor_rows(docs: DataFrame, width: int) -> DataFrame:
 RUN_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
 
-def segments(docs: DataFrame, picked: DataFrame, width: int, longer: bool) -> DataFrame:
-    """``d, k, g, lo, n, once, same, bytes``: the bytes of the picked runs (g, d, k, lo, n, off, once), a bounded portion of them at a time.
+def segments(docs: DataFrame, picked: DataFrame, width: int) -> DataFrame:
+    """``d, k, g, lo, n, once, longer, same, bytes``: the bytes of the picked runs (g, d, k, lo, n, off, once, longer), a bounded portion of them at a time.
 
-    With ``longer`` each run is cut into parts and ``g`` also covers what all windows of a part have in common: the bytes
+    A run that is ``longer`` is cut into parts, and ``g`` also covers what all windows of a part have in common: the bytes
     around the anchor that the part's first and last possible window share. Windows can only be equal if these are.
     """
     most = width - LEAD
     step = -(-(most + 1) // CUTS)
-    runs = picked.groupBy("d", "k").agg(F.collect_list(F.struct("g", "lo", "n", "off", "once")).alias("runs"))
+    runs = picked.groupBy("d", "k").agg(F.collect_list(F.struct("g", "lo", "n", "off", "once", "longer")).alias("runs"))
     rows = keyed(docs).select("d", "k", "text").join(dealt(runs), ["d", "k"])
 
     def parts(data: bytes, r: dict) -> Iterator[tuple]:
-        if not longer:
+        if not r["longer"]:
             yield r["g"], r["lo"], r["n"]
             return
         at = r["lo"] + r["off"]
@@ -171,7 +171,7 @@ def segments(docs: DataFrame, picked: DataFrame, width: int, longer: bool) -> Da
                 for r in runs:
                     for g, lo, n in parts(data, r):
                         part = data[lo : lo + n + width - 1]
-                        out.append((d, k, g, lo, n, r["once"], digest(part), part))
+                        out.append((d, k, g, lo, n, r["once"], r["longer"], digest(part), part))
                         size += len(part)
                     if size >= BATCH_BYTES:
                         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SEGMENT_TYPES, strict=True)], SEGMENT_NAMES)
@@ -179,11 +179,11 @@ def segments(docs: DataFrame, picked: DataFrame, width: int, longer: bool) -> Da
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), SEGMENT_TYPES, strict=True)], SEGMENT_NAMES)
 
-    return rows.mapInArrow(run, "d long, k long, g long, lo long, n int, once boolean, same binary, bytes binary")
+    return rows.mapInArrow(run, "d long, k long, g long, lo long, n int, once boolean, longer boolean, same binary, bytes binary")
 
 
-SEGMENT_NAMES = ["d", "k", "g", "lo", "n", "once", "same", "bytes"]
-SEGMENT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary()]
+SEGMENT_NAMES = ["d", "k", "g", "lo", "n", "once", "longer", "same", "bytes"]
+SEGMENT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
 
 
 def multikey(keys: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -341,12 +341,12 @@ def repeated_spans(docs: DataFrame, width: int, token_bytes: int = TOKEN_BYTES)
     forget(twice)
     equal, picked = told_apart(again, ["d", "k", "lo", "off"], width)
     whole = spans_of(again.join(dealt(equal), ["g", "same"]), width)
-    picked = written(picked)
-    few = spans_in_buckets(segments(docs, picked.where(F.col("size") <= token_bytes), width, False), width)
-    many = picked.where(F.col("size") > token_bytes)
-    if many.isEmpty():
+    # All texts meet their runs once, whatever becomes of a run.
+    every = written(segments(docs, picked.withColumn("longer", F.col("size") > token_bytes), width))
+    few = spans_in_buckets(every.where("not longer"), width)
+    parts = every.where("longer").drop("longer")
+    if parts.isEmpty():
         return whole.unionByName(few)
-    parts = written(segments(docs, many, width, True))
     equal, picked = told_apart(parts.drop("bytes"), ["d", "k", "lo"], width)
     rows = written(parts.drop("once", "n").join(dealt(written(picked)), ["g", "same", "d", "k", "lo"]))
     whole = whole.unionByName(spans_of(parts.drop("bytes").where("once").join(dealt(equal), ["g", "same"]), width))
