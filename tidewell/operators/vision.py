@@ -202,6 +202,38 @@ def picture_errors(pixels: DataFrame, group: str, a: Column, b: Column) -> DataF
     return pixels.groupBy(group).agg(F.avg(F.abs(a - b)).alias("l1"), F.when(mse == 0, 99.0).otherwise(10 * F.log10(255.0 * 255 / mse)).alias("psnr"), soft.alias("soft_iou"))
 
 
+def edge_cells(cells: DataFrame, group: str, width: int, height: int) -> DataFrame:
+    """Cells (x, y) of a group's set with a neighbour, of eight, in the image but not in the set."""
+    own = cells.select(group, "x", "y").distinct()
+    step = F.explode(F.sequence(F.lit(-1), F.lit(1)))
+    near = own.withColumn("_i", step).withColumn("_j", step).select(group, (F.col("x") + F.col("_i")).alias("x"), (F.col("y") + F.col("_j")).alias("y"))
+    span = lambda c, top: F.least(F.col(c) + 1, F.lit(top - 1)) - F.greatest(F.col(c) - 1, F.lit(0)) + 1
+    counts = near.groupBy(group, "x", "y").agg(F.count("*").alias("_n"))
+    return own.join(counts, [group, "x", "y"]).where(F.col("_n") < span("x", width) * span("y", height)).select(group, "x", "y")
+
+
+def near_share(cells: DataFrame, others: DataFrame, group: str, reach: int) -> DataFrame:
+    """``group, n, near``: cells, and how many of them lie within an ellipse of ``reach`` around one of ``others``."""
+    half = F.bround(reach * F.sqrt(1 - F.pow(F.col("_j") / reach, F.lit(2)))).cast("int")
+    disc = others.withColumn("_j", F.explode(F.sequence(F.lit(-reach), F.lit(reach)))).withColumn("_i", F.explode(F.sequence(-half, half)))
+    disc = disc.select(group, (F.col("x") + F.col("_i")).alias("x"), (F.col("y") + F.col("_j")).alias("y")).distinct().withColumn("_in", F.lit(1))
+    return cells.join(disc, [group, "x", "y"], "left").groupBy(group).agg(F.count("*").alias("n"), F.count("_in").alias("near"))
+
+
+def boundary_f(preds: DataFrame, truths: DataFrame, group: str, width: int, height: int) -> DataFrame:
+    """``group, f``: harmonic mean of the shares of either boundary that lies near the other; 0 where one is missing.
+
+    Near: within 0.004 of the image's diagonal, at least 2 cells. Cells of an image are joined by image and place.
+    """
+    reach = max(2, round(0.004 * (width * width + height * height) ** 0.5))
+    a, b = edge_cells(preds, group, width, height), edge_cells(truths, group, width, height)
+    share = lambda x, y, name: near_share(x, y, group, reach).select(group, (F.col("near") / F.col("n")).alias(name))
+    p, r = F.coalesce("precision", F.lit(0.0)), F.coalesce("recall", F.lit(0.0))
+    groups = preds.select(group).unionByName(truths.select(group)).distinct()
+    both = groups.join(share(a, b, "precision"), group, "left").join(share(b, a, "recall"), group, "left")
+    return both.select(group, (2 * p * r / F.greatest(p + r, F.lit(1e-9))).alias("f"))
+
+
 def steady_median(frames: DataFrame, by: str, value: Column, seen: Column, least: int = 3) -> DataFrame:
     """``by, n, median, plate``: of the values seen, the median where there are ``least`` or more, and the mean."""
     v = F.when(seen, value)

@@ -184,10 +184,15 @@ def selection_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(kind.alias("kind"), result.alias("result")).groupBy("kind").pivot("result", ["ok", "order", "miss"]).agg(F.count(F.lit(1))).na.fill(0)
 
 
+def boundary_f(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = cells(spark, sf_dir).withColumn("image", F.col("image") % 400)
+    return vision.boundary_f(rows.where("mask"), rows.where("target or others"), "image", 17, 13).withColumn("f", F.round("f", 6))
+
+
 QUERIES = {f.__name__: f for f in (
     truth_recall, false_positives, row_order_matches, score_order_matches, hard_images, size_filter, attribute_cut, best_candidates, padded_boxes, letterboxes, polygons, thinned_frames,
     late_mean, camera_modes, mask_scores, leak_summary, mask_difference, centres, largest_parts, group_probability, picture_errors, steady_values, peer_ratio, paired_means,
-    every_position, ordinal_cases, selection_table,
+    every_position, ordinal_cases, selection_table, boundary_f,
 )}
 
 BEST = f"""{BOXES}, best AS (SELECT a.image, a.inst, coalesce(max({IOU}), 0) AS best FROM (SELECT * FROM boxes WHERE inst % 2 = 0) a LEFT JOIN (SELECT * FROM boxes WHERE inst % 2 = 1) b ON a.image = b.image GROUP BY 1, 2)"""
@@ -232,6 +237,12 @@ SELECT image, count(*) AS n, CAST(sum(cell) AS BIGINT) AS sum FROM (SELECT *, co
     "picture_errors": f"""WITH {BOXES} SELECT label, round(avg(abs(x1 - y1 * 2)), 4) AS l1, round(CASE WHEN avg((x1 - y1 * 2) ^ 2) = 0 THEN 99 ELSE 10 * log10(65025 / avg((x1 - y1 * 2) ^ 2)) END, 4) AS psnr,
   round(sum(least(x1, y1 * 2) / 255) / greatest(sum(greatest(x1, y1 * 2) / 255), 1e-6), 4) AS soft_iou FROM boxes GROUP BY 1""",
     "steady_values": """SELECT user_id, count(v) AS n, CASE WHEN count(v) >= 3 THEN round(quantile_cont(v, 0.5), 4) END AS median, round(avg(v), 4) AS plate FROM (SELECT user_id, CASE WHEN value > 10 THEN value END AS v FROM events) GROUP BY 1""",
+    "boundary_f": f"""WITH {CELLS}, s AS (SELECT DISTINCT 'p' AS side, image % 400 AS g, x, y FROM cells WHERE m UNION SELECT 't', image % 400, x, y FROM cells WHERE t OR o),
+e AS (SELECT * FROM s WHERE (SELECT count(*) FROM s n WHERE n.side = s.side AND n.g = s.g AND n.x BETWEEN s.x - 1 AND s.x + 1 AND n.y BETWEEN s.y - 1 AND s.y + 1)
+  < (least(x + 1, 16) - greatest(x - 1, 0) + 1) * (least(y + 1, 12) - greatest(y - 1, 0) + 1)),
+k AS (SELECT g, side, EXISTS (SELECT 1 FROM e n WHERE n.side <> e.side AND n.g = e.g AND CASE abs(n.y - e.y) WHEN 0 THEN abs(n.x - e.x) <= 2 WHEN 1 THEN abs(n.x - e.x) <= 2 WHEN 2 THEN n.x = e.x ELSE false END) AS near FROM e),
+v AS (SELECT g, avg(CAST(near AS INT)) FILTER (side = 'p') AS p, avg(CAST(near AS INT)) FILTER (side = 't') AS r FROM k GROUP BY 1)
+SELECT s.g AS image, round(coalesce(2 * p * r / greatest(p + r, 1e-9), 0), 6) AS f FROM (SELECT DISTINCT g FROM s) s LEFT JOIN v ON v.g = s.g""",
     "peer_ratio": f"WITH {BOXES} SELECT image, CASE WHEN count(*) >= 3 THEN round(max({AREA}) / quantile_cont({AREA}, 0.5), 4) END AS ratio FROM boxes GROUP BY 1",
     "paired_means": f"WITH {BOXES} SELECT count(*) AS n, round(avg(x1), 4) AS mean_a, round(avg(y1), 4) AS mean_b, true AS ordered FROM boxes",
     "every_position": f"WITH {BOXES}, f AS (SELECT *, {FRONT} AS front FROM boxes) " + " UNION ALL ".join(
