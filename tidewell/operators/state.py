@@ -26,7 +26,8 @@ def folded(df: DataFrame, key: str, order: list[str], needs: list[str], step: St
         for frame in frames:
             out = []
             for k, *values in frame[[key, *needs]].itertuples(index=False, name=None):
-                if k != now:
+                # A null key of a numeric column comes as NaN, which isn't equal to itself.
+                if k != now and (k == k or now == now):
                     now, state = k, None
                 state, made = step(state, tuple(values))
                 out.append(made)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewell.operators import changes, curation, state, voting
+from tidewell.operators import changes, curation, memory, state, voting
 from tidewell.operators.latest import best_per_key
 from tidewell.sources import text_files
 from tidewell.sources.tables import SAMPLES_SQL, samples, table
@@ -228,10 +228,20 @@ def memory_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return first.withColumn("place", F.row_number().over(w).cast("long")).where("place <= 3").select("q", "memory", "place")
 
 
+def remembered_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What 16 stores hold after every question of the conversations and the turn that follows it."""
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.col("text").alias("question"), F.lead("text").over(w).alias("answer"))
+    none = F.array().cast("array<string>")
+    rows = turns.where("role = 'user'").select((F.col("conv_id") % 16).alias("store"), "conv_id", "turn", "question", "answer", none.alias("similar"), none.alias("sources"))
+    order = ["conv_id", "turn"]
+    return memory.stored(memory.remembered(rows, "store", order), "store", order).select("store", "number", "item_id", "question", "answer", F.array_join("similar", "|").alias("similar"))
+
+
 QUERIES = {f.__name__: f for f in (
     sliding_limiter, login_lockout, code_outcomes, smoothed, merged_requests, filled_feedback, bulk_review, buried_samples, user_removed, replaced_codes, unlinked_images, copied_missing, stale_keys,
     named_results, label_polygons, manifest, pseudo_sources, vote_summary, template_texts, replay_mix, review_cases, class_prompts, downloaded, detector_gate, eval_keys, one_order, split_rows,
-    newest_feedback, quota_rollup, stage_times, job_cards, best_answers, rescored_rounds, memory_hits,
+    newest_feedback, quota_rollup, stage_times, job_cards, best_answers, rescored_rounds, memory_hits, remembered_items,
 )}
 
 TIMED = """e AS (SELECT user_id, event_id, floor(epoch(ts)) AS t, event_type <> 'error' AS r, CASE event_type WHEN 'signup' THEN 'send' WHEN 'purchase' THEN 'right' ELSE 'wrong' END AS kind, value,
