@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import decontamination, language, licenses, near_dedup, packing, repetition, suffix_dedup, tokens, toxicity, warc
+from tidewell.llm import decontamination, fill_middle, html_text, language, licenses, near_dedup, oracles, packing, prefix_trie, repetition, suffix_dedup, tokens, toxicity, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -76,6 +76,21 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_binary(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(read(spark, sf_dir, "conversations"))
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_middle.fill_in_middle(read(spark, sf_dir, "documents"), seed=7, rate=100, suffix_first=50)
+    whole = fill_middle.restored(F.col("fim_text"), F.col("fim_form"))
+    return out.select("doc_id", "n", F.col("fim_form").alias("form"), "prefix_chars", "middle_chars", F.sha2("fim_text", 256).alias("output_sha256"), F.sha2(whole, 256).alias("restored_sha256"))
+
+
+def op13_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.learn(pages)).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_suffix_dedup": op2_suffix_dedup,
@@ -87,6 +102,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_dedup": op8_near_dedup,
     "op9_toxicity": op9_toxicity,
     "op10_token_files": op10_token_files,
+    "op11_prefix_trie": op11_prefix_trie,
+    "op12_fill_in_middle": op12_fill_in_middle,
+    "op13_html_text": op13_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = oracles.ORACLE_SQL
