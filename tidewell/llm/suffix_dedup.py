@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -186,12 +187,16 @@ SEGMENT_NAMES = ["d", "k", "g", "lo", "n", "once", "longer", "same", "bytes"]
 SEGMENT_TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary()]
 
 
-def multikey(keys: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def segment_bytes(batch: pa.RecordBatch) -> list[int]:
+    return pc.binary_length(batch.column("bytes")).to_pylist()
+
+
+def multikey(keys: list[Callable[[np.ndarray], np.ndarray]], group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Multikey sort: one character at a time within the groups of equal characters so far; singletons leave.
 
-    Returns the numbers of the items that equal another in ``group`` and all keys, and their group numbers.
+    ``keys`` gives a character of the items asked for, so that it is only made of those still together. Returns the numbers of the items that equal another in ``group`` and all keys, and their group numbers.
     """
-    items = np.arange(len(group))
+    items = np.arange(len(group), dtype=np.int32 if len(group) < 2**31 else np.int64)
     for key in [None, *keys]:
         if not len(items):
             break
@@ -199,9 +204,10 @@ def multikey(keys: list[np.ndarray], group: np.ndarray) -> tuple[np.ndarray, np.
             order = np.argsort(group, kind="stable")
             same = group[order][1:] == group[order][:-1]
         else:
-            order = np.argsort(key[items], kind="stable")
+            own = key(items)
+            order = np.argsort(own, kind="stable")
             order = order[np.argsort(group[order], kind="stable")]
-            own = key[items[order]]
+            own = own[order]
             same = (own[1:] == own[:-1]) & (group[order][1:] == group[order][:-1])
         items, head = items[order], np.concatenate([[True], ~same])
         group = np.cumsum(head)
@@ -219,15 +225,16 @@ def repeated_windows(parts: list[bytes], groups: np.ndarray, counts: np.ndarray,
     sizes = np.array([len(p) for p in parts])
     base = np.cumsum(sizes) - sizes
     data = np.frombuffer(b"".join(parts), np.uint8)
-    part = np.repeat(np.arange(len(parts)), counts)
-    window = np.arange(len(part)) - np.repeat(np.cumsum(counts) - counts, counts)
-    at = base[part] + window
+    small = np.int32 if len(data) < 2**31 else np.int64
+    part = np.repeat(np.arange(len(parts), dtype=small), counts)
+    window = np.arange(len(part), dtype=small) - np.repeat((np.cumsum(counts) - counts).astype(small), counts)
+    at = base.astype(small)[part] + window
     keys = []
     for k in range(0, width, CHARACTER):
         step = min(CHARACTER, width - k)
         if step != CHARACTER or not k:
             prints = rolled(data, step)
-        keys.append(prints[at + k])
+        keys.append(lambda items, prints=prints, k=k: prints[at[items] + k])
     items, group = multikey(keys, groups[part])
     ok = np.ones(len(items), bool)
     views = np.lib.stride_tricks.sliding_window_view(data, width) if len(items) else None
@@ -269,7 +276,7 @@ def spans_in_buckets(rows: DataFrame, width: int) -> DataFrame:
                     out.append((r["d"], r["k"], r["lo"] + int(window[a]), r["lo"] + int(window[b]) + width))
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["d", "k", "start", "end"])
 
-        for batch in batches:
+        for batch in slices(batches, segment_bytes, BATCH_BYTES):
             for r in batch.to_pylist():
                 if held and size >= BUCKET_BYTES and r["g"] != held[-1]["g"]:
                     yield close(held)
@@ -290,7 +297,7 @@ def spans_by_count(rows: DataFrame, width: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, segment_bytes, BATCH_BYTES):
             counts = batch.column("n").to_numpy().astype(np.int64)
             parts = batch.column("bytes").to_pylist()
             sizes = np.array([len(p) for p in parts])
