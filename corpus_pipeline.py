@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import decontamination, near_dedup, packing, suffix_dedup, toxicity
 from tidewell.llm.queries import read, remainder, tokenizer_path
-from tidewell.llm.shared import dealt, written
+from tidewell.llm.shared import dealt, forget, written
 
 #: Bytes of the least repeated string that the suffix stage removes: under 50 words of 4.8 bytes, blank included (the corpus has 6.5).
 REPEAT_BYTES = 240
@@ -64,10 +64,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages in turn; each stage's rows are written and read again as the next one's ``docs``."""
+    """All stages in turn; each stage's rows are written and read again as the next one's ``docs``, and deleted when that one is done."""
     docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+    for k, (_, stage) in enumerate(STAGES):
+        made = written(stage(spark, docs, sf_dir))
+        if k:
+            forget(docs)
+        docs = made
     return docs
 
 
