@@ -10,6 +10,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint in the folder that ``spark.checkpoint.dir`` names; without that setting, beside the warehouse, which is shared too."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints")
+    return df.checkpoint()
+
+
 def with_status(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Documents as review samples: toxic ones are rejected, other good ones approved, the rest pending."""
     status = F.when(F.col("toxic") == 1, "rejected").when(F.col("quality") == 1, "approved").otherwise("pending")
