@@ -109,25 +109,6 @@ def account_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", answers.serial(F.col("c_name")).alias("serial"), answers.masked_email(F.concat(name, F.lit("@ex.org"))).alias("email"), answers.password_problem(name).alias("problem"))
 
 
-WORDS = ["사람", "고양이", "강", "dog"]
-
-
-def particles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    word = F.element_at(F.array(*map(F.lit, WORDS)), (F.col("n_nationkey") % 4 + 1).cast("int"))
-    return table(spark, sf_dir, "nation").select("n_nationkey", answers.particle(word, "을", "를").alias("phrase"))
-
-
-COLOURS = {"red": "red", "neon yellow": "neon yellow", "yellow": "yellow", "fluorescent": "neon yellow"}
-ITEMS = {"hat": "hat", "vest": "vest", "waistcoat": "vest"}
-PHRASES = ["Neon  Yellow waistcoat", "fluorescent vest", "red car", "big hat", "yellowish hats"]
-
-
-def attribute_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = F.element_at(F.array(*map(F.lit, PHRASES)), (F.col("p_partkey") % 5 + 1).cast("int"))
-    pair = answers.attribute_pair(text, COLOURS, ITEMS)
-    return table(spark, sf_dir, "part").groupBy(pair["colour"].alias("colour"), pair["part"].alias("part")).agg(F.count("*").alias("n"))
-
-
 def intensity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", answers.default_intensity(F.col("doc_id") % 100, F.col("text")).alias("intensity"))
 
@@ -141,7 +122,7 @@ def read_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     parsed_answers, answer_lines, field_accuracy, winning_answers, asked_samples, first_provider, next_steps, stray_numbers, routed, kept_lines, question_variants, account_fields,
-    particles, attribute_pairs, intensity_labels, read_times,
+    intensity_labels, read_times,
 )}
 
 
@@ -182,8 +163,6 @@ SELECT conv_id, turn, array_to_string(list_filter(xs, lambda x, i: list_position
     "account_fields": r"""SELECT c_custkey, regexp_replace(upper(c_name), '[^\p{L}\p{N}]', '', 'g') AS serial,
   x[1:CASE WHEN length(x) > 2 THEN 2 ELSE least(length(x), 1) END] || repeat('*', greatest(2, length(x) - CASE WHEN length(x) > 2 THEN 2 ELSE least(length(x), 1) END)) || '@ex.org' AS email,
   CASE WHEN length(x) NOT BETWEEN 8 AND 64 THEN 'length' WHEN NOT (regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '\d')) THEN 'kinds' END AS problem FROM (SELECT *, substring(replace(c_name, '#', ''), 1, c_custkey % 12) AS x FROM customer)""",
-    "particles": "SELECT n_nationkey, ['사람을', '고양이를', '강을', 'dog를'][1 + n_nationkey % 4] AS phrase FROM nation",
-    "attribute_pairs": "SELECT ['neon yellow', 'neon yellow', 'red', NULL, NULL][1 + p_partkey % 5] AS colour, ['vest', 'vest', NULL, 'hat', NULL][1 + p_partkey % 5] AS part, count(*) AS n FROM part GROUP BY 1, 2",
     "intensity_labels": r"SELECT doc_id, CASE WHEN regexp_matches(text, '\d') THEN doc_id % 100 ELSE 15 END AS intensity FROM documents",
     "read_times": "SELECT event_id, CASE event_id % 3 WHEN 0 THEN strftime(date_trunc('second', ts) - INTERVAL 9 HOUR, '%Y-%m-%d %H:%M:%S') WHEN 1 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS at FROM events",
 }
