@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidewell.plans import answered, curated, judged, kept, reports, retrieved, seen, shapes, worded
+from tidewell.plans import answered, curated, indexed, judged, kept, reports, retrieved, seen, shapes, worded
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for family in (reports, curated, retrieved, judged, seen, answered, kept, worded, shapes):
+for family in (reports, curated, retrieved, judged, seen, answered, kept, worded, shapes, indexed):
     QUERIES |= family.QUERIES
     ORACLE_SQL |= family.ORACLE_SQL

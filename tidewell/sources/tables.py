@@ -10,12 +10,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_base(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; without that setting one beside the warehouse, which all nodes share too."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    return (base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints").rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut by a checkpoint in the folder that ``spark.checkpoint.dir`` names; without that setting, beside the warehouse, which is shared too."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(base or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}-checkpoints")
+    """``df`` with its lineage cut by a checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_base(df.sparkSession))
     return df.checkpoint()
 
 
