@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.operators import stored_index
+from tidewell.operators import stored_index, vector_index
 from tidewell.plans import retrieved
 from tidewell.sources.tables import samples, shared_base, table
 
@@ -55,7 +55,15 @@ def verified_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stored_index.search(spark, path, retrieved.items(spark, sf_dir), k=2, min_score=0.2)
 
 
-QUERIES = {f.__name__: f for f in (indexed_topk, index_refreshes, verified_topk)}
+def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The search of ``vector_topk``, every twentieth vector against all, in an inverted-file index; approximate."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    path = new_folder(spark)
+    vector_index.build(rows, path, cells=32)
+    return vector_index.search(spark, path, rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), k=5, probes=20)
+
+
+QUERIES = {f.__name__: f for f in (indexed_topk, index_refreshes, verified_topk, ivf_topk)}
 
 USABLE = f"""samples AS (SELECT d.*, CASE WHEN l.toxic = 1 THEN 'rejected' WHEN l.quality = 1 THEN 'approved' ELSE 'pending' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 usable AS (SELECT doc_id, text, CASE status WHEN 'approved' THEN 1 ELSE 0 END AS rank FROM samples WHERE status = 'approved' OR status = 'rejected' AND lang = 'en')"""

@@ -61,6 +61,11 @@ def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.nearest_rank(table(spark, sf_dir, "events").select("event_type", "value"), "event_type", "value", 0.95).withColumnRenamed("value", "p95")
 
 
+def latency_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("level"), "value", F.col("event_type").alias("status"))
+    return evaluation.latency_report(rows, "level", "value", "status").withColumn("p50", F.round("p50", 6))
+
+
 def weighted_mean_by_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     sets = table(spark, sf_dir, "events").groupBy("event_type").agg(F.avg("value").alias("mean"), F.count("*").alias("n"))
     return sets.agg(F.round(evaluation.weighted_mean(sets, "mean", "n"), 4).alias("mean"))
@@ -115,7 +120,7 @@ def upserted_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    position_pick, rank_slice, ambiguous_neighbours, majority_vote, vote_stability, always_wrong, set_confusion, threshold_sweep, latency_percentiles, weighted_mean_by_set,
+    position_pick, rank_slice, ambiguous_neighbours, majority_vote, vote_stability, always_wrong, set_confusion, threshold_sweep, latency_percentiles, latency_report, weighted_mean_by_set,
     accept_candidate, quality_score, daily_quota, ttl_expired, batch_progress, hold_last, review_transitions, upserted_orders,
 )}
 
@@ -145,6 +150,10 @@ SELECT prompt_id, answer, n_samples, CASE WHEN own = 0 THEN 'heuristic' WHEN n_s
     "latency_percentiles": """SELECT event_type, value AS p95 FROM (
   SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
 WHERE r = round_even(0.95 * (n - 1), 0)""",
+    "latency_report": """WITH e AS (SELECT user_id % 5 AS level, value, event_type AS status FROM events), c AS (SELECT level, status, count(*) AS c FROM e GROUP BY ALL),
+p AS (SELECT level, value, row_number() OVER (PARTITION BY level ORDER BY value) - 1 AS r, count(*) OVER (PARTITION BY level) AS n FROM e WHERE value IS NOT NULL)
+SELECT level, (SELECT CAST(sum(c) AS BIGINT) FROM c WHERE c.level = p.level) AS requests, round(avg(value) FILTER (r = (n - 1) // 2 OR r = n // 2), 6) AS p50, avg(value) FILTER (r = round_even(0.95 * (n - 1), 0)) AS p95, max(value) AS max,
+(SELECT '{' || string_agg('"' || status || '":' || c, ',' ORDER BY status) || '}' FROM c WHERE c.level = p.level) AS statuses FROM p GROUP BY level""",
     "weighted_mean_by_set": "SELECT round(sum(mean * n) / greatest(sum(n), 1), 4) AS mean FROM (SELECT avg(value) AS mean, count(*) AS n FROM events GROUP BY event_type)",
     "accept_candidate": """SELECT count(*) AS sets, CAST(sum(a - b) AS BIGINT) AS gain, max(b - a) AS worst, max(b - a) <= 1 AND sum(a - b) > 0 AS accepted FROM (
   SELECT count(*) FILTER (WHERE user_id % 2 = 0) AS a, count(*) FILTER (WHERE user_id % 2 = 1) AS b FROM events GROUP BY event_type) WHERE a > 0 AND b > 0""",

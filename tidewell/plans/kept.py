@@ -106,8 +106,9 @@ def stale_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def named_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").select("p_partkey", F.concat("p_brand", F.lit(".png")).alias("name"))
-    return text_files.safe_names(rows, "p_partkey", "name").select("p_partkey", "out_name")
+    mark = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("_"), F.lpad(((F.col("p_partkey") * 7) % 40).cast("string"), 4, "0"))).otherwise("")
+    rows = table(spark, sf_dir, "part").select(F.col("p_size").alias("job"), (F.col("p_partkey") % 10000).alias("index"), F.concat(F.substring("p_brand", 1, 7), mark, F.lit(".png")).alias("name"))
+    return text_files.safe_names(rows, "job", "index", "name").select("job", "index", "out_name")
 
 
 def label_polygons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -283,7 +284,9 @@ SELECT event_type, count(*) AS n, count(*) FILTER (still) AS open FROM (SELECT e
     "unlinked_images": "SELECT CASE WHEN p_partkey % 10 > 4 THEN '/img/' || p_brand || '/' || (p_partkey % 10) || '.png' END AS path, count(*) AS n FROM part GROUP BY 1",
     "copied_missing": "SELECT o_orderstatus, CASE WHEN o_orderkey % 3 = 0 THEN 'old' END AS note, count(*) AS n FROM orders GROUP BY 1, 2",
     "stale_keys": "SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0",
-    "named_results": """SELECT p_partkey, p_brand || CASE WHEN place > 1 THEN '_' || place ELSE '' END || '.png' AS out_name FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS place FROM part)""",
+    "named_results": """WITH f AS (SELECT p_size AS job, p_partkey % 10000 AS index, p_brand[1:7] || CASE WHEN p_partkey % 3 = 0 THEN '_' || lpad(CAST(p_partkey * 7 % 40 AS VARCHAR), 4, '0') ELSE '' END AS stem FROM part),
+r AS (SELECT *, row_number() OVER (PARTITION BY job, stem ORDER BY index) AS place, stem || '_' || lpad(CAST(index AS VARCHAR), 4, '0') AS numbered FROM f)
+SELECT job, index, CASE WHEN place = 1 THEN stem WHEN EXISTS (SELECT 1 FROM f WHERE f.job = r.job AND f.stem = r.numbered) THEN numbered || '_' || md5(CAST(index AS VARCHAR)) ELSE numbered END || '_result.png' AS out_name FROM r""",
     "label_polygons": """SELECT cls, count(*) AS n, CAST(sum(n) AS BIGINT) AS values FROM (SELECT CASE l_partkey % 4 WHEN 0 THEN 7 WHEN 2 THEN 5 END AS cls, 4 + CASE WHEN l_linenumber > 2 THEN 2 ELSE 0 END + CASE WHEN l_linenumber > 4 THEN 2 ELSE 0 END AS n
   FROM lineitem) WHERE n >= 6 AND cls IS NOT NULL GROUP BY 1""",
     "manifest": """SELECT '{"records":' || (SELECT count(*) FROM documents) || ',"counts":{' || (SELECT string_agg('"' || lang || '":' || n, ',' ORDER BY lang) FROM (SELECT lang, count(*) AS n FROM documents GROUP BY 1)) || '},"samples":[' ||

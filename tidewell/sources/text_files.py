@@ -64,11 +64,22 @@ def refreshed(stored: DataFrame, current: DataFrame, key: str) -> tuple[DataFram
     return current, stored.select(key).join(current.select(key), key, "left_anti")
 
 
-def safe_names(files: DataFrame, key: str, name: str) -> DataFrame:
-    """``files`` with ``out_name``: the name, with a number from the second file of a name on."""
-    place = F.row_number().over(Window.partitionBy(name).orderBy(key))
+def safe_names(files: DataFrame, job: str, index: str, name: str) -> DataFrame:
+    """``files`` with ``out_name``, a name for each file's result that no other file of its ``job`` gets.
+
+    The first file of a name, by ``index``, gives ``stem_result.ext``, later ones ``stem_0007_result.ext`` with their index. If the numbered name is the plain one of
+    another file of the job, a digest of the index goes behind the number. ``index`` tells the files of a job apart.
+    """
     stem, ext = F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 1), F.regexp_extract(name, r"^(.*?)(\.[^.]*)?$", 2)
-    return files.withColumn("out_name", F.when(place == 1, F.col(name)).otherwise(F.concat(stem, F.lit("_"), place.cast("string"), ext)))
+    number = F.when(F.col(index) < 10_000, F.lpad(F.col(index).cast("string"), 4, "0")).otherwise(F.col(index).cast("string"))
+    made = lambda *more: F.concat(stem, *more, F.lit("_result"), ext)
+    rows = files.withColumns({"_plain": made(), "_numbered": made(F.lit("_"), number)})
+    first = F.row_number().over(Window.partitionBy(job, "_plain").orderBy(index)) == 1
+    taken = rows.select(job, F.col("_plain").alias("_numbered"), F.lit(True).alias("_taken")).distinct()
+    rows = rows.withColumn("_first", first).join(taken, [job, "_numbered"], "left")
+    again = made(F.lit("_"), number, F.lit("_"), F.md5(F.col(index).cast("string")))
+    out = F.when(F.col("_first"), F.col("_plain")).when(F.col("_taken"), again).otherwise(F.col("_numbered"))
+    return rows.withColumn("out_name", out).select(*(F.col(f"`{c}`") for c in files.columns), "out_name")
 
 
 def coco_images(spark: SparkSession, path: str) -> DataFrame:
