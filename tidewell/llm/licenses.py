@@ -134,6 +134,12 @@ def shingles(w: Column) -> Column:
     return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(*(p(i) for p in parts)))).otherwise(F.array().cast("array<bigint>"))
 
 
+def numbers(w: Column) -> Column:
+    """How many words with a digit each shingle has."""
+    digit = lambda i: F.when(F.get(w, i).rlike("[0-9]"), 1).otherwise(0)
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: sum((digit(i + k) for k in range(1, SHINGLE)), digit(i)))
+
+
 def block_minima(h: Column, band: int) -> Column:
     """The least hash, under the band's own hash function, of each block of ``STEP`` shingles. ``h`` must be a plain column.
 
@@ -158,9 +164,13 @@ def window_minima(half: Column) -> Column:
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
-    """``license, hashes, n, width``; templates without a whole shingle are left out."""
+    """``license, hashes, marks, n, width``; templates without a whole shingle are left out. ``marks``: the shingles with most numbers, such as a version's, if there are any."""
     rows = spark.createDataFrame(list(templates.items()), "license string, notice string")
-    rows = rows.select("license", F.array_distinct(shingles(words(F.col("notice")))).alias("hashes")).withColumn("n", F.size("hashes"))
+    rows = rows.select("license", words(F.col("notice")).alias("w"))
+    rows = rows.select("license", shingles(F.col("w")).alias("h"), numbers(F.col("w")).alias("numbers"))
+    most = F.array_max("numbers")
+    marks = F.array_distinct(F.filter("h", lambda x, i: (most > 0) & (F.get("numbers", i) == most)))
+    rows = rows.select("license", F.array_distinct("h").alias("hashes"), F.coalesce(marks, F.array().cast("array<bigint>")).alias("marks")).withColumn("n", F.size("hashes"))
     return rows.where("n > 0").withColumn("width", width_for(F.col("n")))
 
 
@@ -183,7 +193,10 @@ def hits_among(minima: str, every: int, width: int, wanted: list[int]) -> Column
 
 
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
-    """``doc_id, license, containment, word``: templates of which a document holds at least ``least`` of the shingles in one place.
+    """``doc_id, license, containment, word, best``: templates of which a document holds at least ``least`` of the shingles in one place.
+
+    Notices of versions of one license share most words: of a template with numbers the place must also hold a shingle with as many of them as any of its shingles has.
+    ``best``: no template found in an overlapping place has a higher containment, or the same and more shingles; ties go to the first name.
 
     Templates of fewer than 11 shingles, such as one-line notices, have a width of 1: they are found by equal shingles, without bands.
     Each template is looked for with windows of the largest width in ``WIDTHS`` of which its text always holds a whole one.
@@ -205,7 +218,7 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
     rows = rows.select("doc_id", shingles(F.col("w")).alias("h"))
     if not wanted:
-        return rows.where("false").select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("word"))
+        return rows.where("false").select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("word"), F.lit(True).alias("best"))
     wide = sorted(k for k in wanted if k[0] > 1)
     # Each step is a column of its own: a lambda's inputs are worked out once per row, not once per element.
     rows = rows.select("*", *(block_minima(F.col("h"), b).alias(f"m{b}") for b in sorted({b for _, b in wide})))
@@ -215,18 +228,33 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     if (1, 0) in wanted:
         hits.append(hits_among("h", 1, 1, sorted(wanted[1, 0])))
     names = F.expr("map(" + ", ".join(f"bigint('{low}'), array({', '.join(map(quoted, items))})" for low, items in lookup(bands).items()) + ")")
-    sets = F.expr("map(" + ", ".join(f"{quoted(r['license'])}, array({', '.join(f'''bigint('{x}')''' for x in r['hashes'])})" for r in known.collect()) + ")")
+    rows_known = known.collect()
+    sets, marked = (F.expr("map(" + ", ".join(f"{quoted(r['license'])}, cast(array({', '.join(f'''bigint('{x}')''' for x in r[c])}) as array<bigint>)" for r in rows_known) + ")") for c in ("hashes", "marks"))
     # No filter on the hits: it would be pushed below these steps, with all of them written into it.
     near = rows.select("doc_id", "h", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*hits))))).alias("hit")).select("doc_id", "h", "hit", "hit.width", "hit.at", F.explode(F.element_at(names, F.col("hit.low"))).alias("license"))
-    near = near.withColumn("set", F.element_at(sets, F.col("license"))).withColumn("n", F.size("set"))
+    near = near.withColumn("set", F.element_at(sets, F.col("license"))).withColumn("marks", F.element_at(marked, F.col("license"))).withColumn("n", F.size("set"))
     first = F.greatest(F.col("at") - F.col("n"), F.lit(0))
     part = F.slice("h", first + 1, F.col("at") + F.col("width") + F.col("n") - first)
-    scored = near.select("doc_id", F.xxhash64("h").alias("k"), "license", (F.size(F.array_intersect("set", part)) / F.col("n")).alias("containment"), F.col("at").cast("long").alias("word"), "hit")
+    scored = near.select(
+        "doc_id", F.xxhash64("h").alias("k"), "license", (F.size(F.array_intersect("set", part)) / F.col("n")).alias("containment"), F.col("at").cast("long").alias("word"), "hit", "n",
+        ((F.size("marks") == 0) | F.arrays_overlap("marks", part)).alias("exact"),
+    )
     # Each copy of a row gives each of its hits once.
-    best = scored.where(F.col("containment") >= least).groupBy("doc_id", "k", "license").agg(
-        F.max(F.struct("containment", (-F.col("word")).alias("minus"))).alias("best"), (F.count("*") / F.size(F.collect_set("hit"))).cast("int").alias("copies")
+    best = scored.where((F.col("containment") >= least) & F.col("exact")).groupBy("doc_id", "k", "license").agg(
+        F.max(F.struct("containment", (-F.col("word")).alias("minus"))).alias("best"), (F.count("*") / F.size(F.collect_set("hit"))).cast("int").alias("copies"), F.max("n").alias("n")
     )
-    return best.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "license", "best.containment", (-F.col("best.minus")).alias("word"))
+    # A document has one row per template at most, so what is gathered here is bounded by the table of templates.
+    found = best.select("doc_id", "k", "copies", F.struct("license", "best.containment", (-F.col("best.minus")).alias("word"), "n").alias("x"))
+    every = found.groupBy("doc_id", "k", "copies").agg(F.collect_list("x").alias("every")).withColumn("x", F.explode("every"))
+
+    def better(y: Column) -> Column:
+        x, same = F.col("x"), F.col("x.containment") == y["containment"]
+        near = (F.col("x.word") < y["word"] + y["n"]) & (y["word"] < F.col("x.word") + F.col("x.n"))
+        more = (y["containment"] > x["containment"]) | (same & ((y["n"] > x["n"]) | ((y["n"] == x["n"]) & (y["license"] < x["license"]))))
+        return (y["license"] != x["license"]) & near & more
+
+    judged = every.withColumn("best", ~F.exists("every", better)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return judged.select("doc_id", "x.license", "x.containment", "x.word", "best")
 
 
 def quoted(text: str) -> str:
