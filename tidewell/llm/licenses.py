@@ -227,20 +227,28 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     hits = [hits_among(f"w{w}_{b}", w // 2, w, sorted(wanted[w, b])) for w, b in wide]
     if (1, 0) in wanted:
         hits.append(hits_among("h", 1, 1, sorted(wanted[1, 0])))
-    names = F.expr("map(" + ", ".join(f"bigint('{low}'), array({', '.join(map(quoted, items))})" for low, items in lookup(bands).items()) + ")")
-    rows_known = known.collect()
-    sets, marked = (F.expr("map(" + ", ".join(f"{quoted(r['license'])}, cast(array({', '.join(f'''bigint('{x}')''' for x in r[c])}) as array<bigint>)" for r in rows_known) + ")") for c in ("hashes", "marks"))
-    # No filter on the hits: it would be pushed below these steps, with all of them written into it.
-    near = rows.select("doc_id", "h", F.explode(F.array_distinct(F.flatten(F.array_compact(F.array(*hits))))).alias("hit")).select("doc_id", "h", "hit", "hit.width", "hit.at", F.explode(F.element_at(names, F.col("hit.low"))).alias("license"))
-    near = near.withColumn("set", F.element_at(sets, F.col("license"))).withColumn("marks", F.element_at(marked, F.col("license"))).withColumn("n", F.size("set"))
-    first = F.greatest(F.col("at") - F.col("n"), F.lit(0))
-    part = F.slice("h", first + 1, F.col("at") + F.col("width") + F.col("n") - first)
-    scored = near.select(
-        "doc_id", F.xxhash64("h").alias("k"), "license", (F.size(F.array_intersect("set", part)) / F.col("n")).alias("containment"), F.col("at").cast("long").alias("word"), "hit", "n",
-        ((F.size("marks") == 0) | F.arrays_overlap("marks", part)).alias("exact"),
-    )
+    rows_known = known.orderBy("license").collect()
+    number = {r["license"]: k for k, r in enumerate(rows_known)}
+    # Templates go by number: an element of an array is found at once, and no literal holds their text.
+    names = F.expr("map(" + ", ".join(f"bigint('{low}'), array({', '.join(str(number[x]) for x in items)})" for low, items in lookup(bands).items()) + ")")
+    sets, marked = (F.expr("array(" + ", ".join(f"cast(array({', '.join(f'''bigint('{x}')''' for x in r[c])}) as array<bigint>)" for r in rows_known) + ")") for c in ("hashes", "marks"))
+    license = F.expr("array(" + ", ".join(quoted(r["license"]) for r in rows_known) + ")")
+
+    def judged_hit(hit: Column, t: Column) -> Column:
+        own, marks = F.get(sets, t), F.get(marked, t)
+        n = F.size(own)
+        first = F.greatest(hit["at"] - n, F.lit(0))
+        part = F.slice("h", first + 1, hit["at"] + hit["width"] + n - first)
+        exact = (F.size(marks) == 0) | F.arrays_overlap(marks, part)
+        return F.struct(t.alias("t"), (F.size(F.array_intersect(own, part)) / n).alias("containment"), hit["at"].cast("long").alias("word"), n.alias("n"), hit.alias("hit"), exact.alias("exact"))
+
+    # Places are judged in the row that holds the shingles; rows sent on hold what was found, not the document.
+    # The outer explode keeps Spark from a filter on the places, which would be pushed below these steps with all of them written into it.
+    judged = F.flatten(F.transform(F.array_distinct(F.flatten(F.array_compact(F.array(*hits)))), lambda x: F.transform(F.element_at(names, x["low"]), lambda t: judged_hit(x, t))))
+    near = rows.select("doc_id", F.xxhash64("h").alias("k"), F.filter(judged, lambda x: x["exact"] & (x["containment"] >= least)).alias("places"))
+    scored = near.select("doc_id", "k", F.explode_outer("places").alias("p")).where("p is not null").select("doc_id", "k", F.get(license, F.col("p.t")).alias("license"), "p.containment", "p.word", "p.n", "p.hit")
     # Each copy of a row gives each of its hits once.
-    best = scored.where((F.col("containment") >= least) & F.col("exact")).groupBy("doc_id", "k", "license").agg(
+    best = scored.groupBy("doc_id", "k", "license").agg(
         F.max(F.struct("containment", (-F.col("word")).alias("minus"))).alias("best"), (F.count("*") / F.size(F.collect_set("hit"))).cast("int").alias("copies"), F.max("n").alias("n")
     )
     # A document has one row per template at most, so what is gathered here is bounded by the table of templates.
