@@ -140,27 +140,45 @@ def numbers(w: Column) -> Column:
     return F.transform(F.sequence(F.lit(0), F.greatest(F.size(w) - SHINGLE, F.lit(0))), lambda i: sum((digit(i + k) for k in range(1, SHINGLE)), digit(i)))
 
 
-def block_minima(h: Column, band: int) -> Column:
-    """The least hash, under the band's own hash function, of each block of ``STEP`` shingles. ``h`` must be a plain column.
+def blocks(h: Column) -> Column:
+    """Each block of ``STEP`` shingles as a struct. ``h`` must be a plain column.
 
     Elements are fetched by index, as a slice would copy the whole array; past the end the last one counts again.
     """
     last = F.size(h) - 1
     starts = F.sequence(F.lit(0), F.greatest(last, F.lit(0)), F.lit(STEP))
-    return F.transform(starts, lambda i: F.least(*(F.xxhash64(F.get(h, F.least(i + k, last)), F.lit(band)) for k in range(STEP))))
+    return F.transform(starts, lambda i: F.struct(*(F.get(h, F.least(i + k, last)).alias(f"x{k}") for k in range(STEP))))
 
 
-def halves(m: Column, width: int) -> Column:
-    """Minima of half windows from those of blocks. ``m`` must be a plain column."""
-    n = width // 2 // STEP
-    if n == 1:
-        return m
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.size(m) - 1, F.lit(0)), F.lit(n)), lambda i: F.least(*(F.get(m, i + k) for k in range(n))))
+def block_minima(block: Column, band: int) -> Column:
+    """The least hash of each block under the band's own hash function. ``block`` must be a plain column."""
+    return F.transform(block, lambda x: F.least(*(F.xxhash64(x[f"x{k}"], F.lit(band)) for k in range(STEP))))
 
 
-def window_minima(half: Column) -> Column:
-    """Minima of windows of two half windows each; the last is one half alone. ``half`` must be a plain column."""
-    return F.zip_with(half, F.slice(half, F.lit(2), F.greatest(F.size(half) - 1, F.lit(0))), lambda a, b: F.least(a, b))
+def listed(values: set[int]) -> str:
+    """The values as SQL text: thousands of literals one by one take the driver seconds."""
+    return ", ".join(f"bigint('{x}')" for x in sorted(values))
+
+
+def shingle_hits(wanted: set[int]) -> Column:
+    """Shingles of ``h`` among the wanted as places (width, at, low); null if there are none."""
+    return F.expr(f"case when exists(h, x -> x in ({listed(wanted)})) then filter(transform(h, (low, i) -> struct(1 as width, i as at, low as low)), x -> x.low in ({listed(wanted)})) end")
+
+
+def window_hits(minima: str, wanted: dict[int, set[int]]) -> Column:
+    """Windows (width, at, low) whose minimum is one of the templates' of that width; null if there are none. ``minima`` names a column of blocks' minima.
+
+    A window is two half windows, the last one half alone. Its minimum is that of one of its blocks, so windows are only
+    formed in texts of which a block has a wanted minimum.
+    """
+
+    def windows(width: int) -> str:
+        n = width // 2 // STEP
+        low = ", ".join(f"get({minima}, i + {k})" for k in range(2 * n))
+        every = f"transform(sequence(0, greatest(size({minima}) - 1, 0), {n}), i -> struct({width} as width, i * {STEP} as at, least({low}) as low))"
+        return f"filter({every}, x -> x.low in ({listed(wanted[width])}))"
+
+    return F.expr(f"case when exists({minima}, x -> x in ({listed(set().union(*wanted.values()))})) then concat({', '.join(windows(w) for w in sorted(wanted))}) end")
 
 
 def template_table(spark: SparkSession, templates: dict[str, str]) -> DataFrame:
@@ -182,16 +200,6 @@ def band_table(templates: DataFrame) -> DataFrame:
     return own.where("width > 1 or band = 0").select("width", "band", low.alias("low"), "license").distinct()
 
 
-def hits_among(minima: str, every: int, width: int, wanted: list[int]) -> Column:
-    """Windows (width, at, low) whose minimum is one of the templates'. ``minima`` names a column.
-
-    The values are given as SQL text: thousands of literals one by one take the driver seconds.
-    """
-    listed = ", ".join(f"bigint('{x}')" for x in wanted)
-    found = f"transform({minima}, (low, i) -> struct({width} as width, i * {every} as at, low as low))"
-    return F.expr(f"case when exists({minima}, x -> x in ({listed})) then filter({found}, x -> x.low in ({listed})) end")
-
-
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least: float = 0.8) -> DataFrame:
     """``doc_id, license, containment, word, best``: templates of which a document holds at least ``least`` of the shingles in one place.
 
@@ -219,14 +227,13 @@ def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, least
     rows = rows.select("doc_id", shingles(F.col("w")).alias("h"))
     if not wanted:
         return rows.where("false").select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment"), F.lit(0).cast("long").alias("word"), F.lit(True).alias("best"))
-    wide = sorted(k for k in wanted if k[0] > 1)
+    wide = {b: {w: wanted[w, b] for w in WIDTHS[1:] if (w, b) in wanted} for b in sorted({b for w, b in wanted if w > 1})}
     # Each step is a column of its own: a lambda's inputs are worked out once per row, not once per element.
-    rows = rows.select("*", *(block_minima(F.col("h"), b).alias(f"m{b}") for b in sorted({b for _, b in wide})))
-    rows = rows.select("doc_id", "h", *(halves(F.col(f"m{b}"), w).alias(f"h{w}_{b}") for w, b in wide))
-    rows = rows.select("doc_id", "h", *(window_minima(F.col(f"h{w}_{b}")).alias(f"w{w}_{b}") for w, b in wide))
-    hits = [hits_among(f"w{w}_{b}", w // 2, w, sorted(wanted[w, b])) for w, b in wide]
+    rows = rows.select("*", blocks(F.col("h")).alias("blocks"))
+    rows = rows.select("doc_id", "h", *(block_minima(F.col("blocks"), b).alias(f"m{b}") for b in wide))
+    hits = [window_hits(f"m{b}", sets) for b, sets in wide.items()]
     if (1, 0) in wanted:
-        hits.append(hits_among("h", 1, 1, sorted(wanted[1, 0])))
+        hits.append(shingle_hits(wanted[1, 0]))
     rows_known = known.orderBy("license").collect()
     number = {r["license"]: k for k, r in enumerate(rows_known)}
     # Templates go by number: an element of an array is found at once, and no literal holds their text.
