@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.operators import segments
+
 
 def local_day(ts: Column, hours: int = 9) -> Column:
     """The date of a UTC time in a zone ``hours`` ahead."""
@@ -14,7 +16,7 @@ def local_day(ts: Column, hours: int = 9) -> Column:
 def daily_quota(uses: DataFrame, key: str, ts: str, seq: str, limit: int = 10) -> DataFrame:
     """``uses`` with ``day`` and ``allowed``: the first ``limit`` uses of a key on a day; refused uses don't count."""
     rows = uses.withColumn("day", local_day(F.col(ts)))
-    return rows.withColumn("allowed", F.row_number().over(Window.partitionBy(key, "day").orderBy(ts, seq)) <= limit)
+    return segments.running_count(rows, [key, "day"], [ts, seq], "allowed").withColumn("allowed", F.col("allowed") <= limit)
 
 
 def expired(df: DataFrame, ts: str, now: Column, days: int) -> DataFrame:
@@ -30,9 +32,3 @@ def progress(items: DataFrame, batch: str, order: str, failed: Column) -> DataFr
     rows = rows.withColumn("progress", F.round(F.col("completed") / F.count("*").over(w), 4))
     last = F.col("progress") == 1
     return rows.withColumn("status", F.when(~last, "running").when(F.col("failed") == F.col("completed"), "failed").otherwise("done"))
-
-
-def hold_last(df: DataFrame, key: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """``name``: the value, or where it is null the latest one before it."""
-    w = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(name, F.last(value, ignorenulls=True).over(w))

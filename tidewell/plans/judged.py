@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.functions.text import sha1_remainder, sha1_remainder_sql, split_name
-from tidewell.operators import changes, evaluation, selection, temporal, voting
+from tidewell.operators import changes, evaluation, selection, segments, temporal, voting
 from tidewell.sources.tables import SAMPLES_SQL, samples, table
 
 
@@ -100,7 +100,7 @@ def batch_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def hold_last(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", "value")
-    return temporal.hold_last(rows, "user_id", ["ts", "event_id"], F.when(F.col("value") > 20, F.col("value")), "held").select("event_id", F.round("held", 4).alias("held"))
+    return segments.hold_last(rows, "user_id", ["ts", "event_id"], F.when(F.col("value") > 20, F.col("value")), "held").select("event_id", F.round("held", 4).alias("held"))
 
 
 def review_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
