@@ -1,4 +1,4 @@
-"""Queries over a stored index, and their SQL. Each makes its index in a folder of its own below the shared one."""
+"""Queries over stored indexes and a document store, and their SQL. Each makes its index or store in a folder of its own below the shared one."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewell.operators import stored_index, vector_index
 from tidewell.plans import retrieved
+from tidewell.sources.store import DocumentStore
 from tidewell.sources.tables import samples, shared_base, table
 
 
@@ -63,7 +64,17 @@ def ivf_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_index.search(spark, path, rows.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "query_id"), k=5, probes=20)
 
 
-QUERIES = {f.__name__: f for f in (indexed_topk, index_refreshes, verified_topk, ivf_topk)}
+def stored_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest ten events of each user in a store that was written twice: first without clicks, then with clicks and new values of every fifth event."""
+    events = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "event_type", "value")
+    store = DocumentStore(spark, new_folder(spark), "event_id", "ts", ["user_id"], keep=10)
+    store.write(events.where("event_type <> 'click'"))
+    later = events.where("event_type = 'click' or event_id % 5 = 0")
+    store.write(later.withColumn("value", F.when(F.col("event_id") % 5 == 0, F.col("value") + 1).otherwise(F.col("value"))))
+    return store.read().select("user_id", "event_id", "event_type", "value")
+
+
+QUERIES = {f.__name__: f for f in (indexed_topk, index_refreshes, verified_topk, ivf_topk, stored_events)}
 
 USABLE = f"""samples AS (SELECT d.*, CASE WHEN l.toxic = 1 THEN 'rejected' WHEN l.quality = 1 THEN 'approved' ELSE 'pending' END AS status FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 usable AS (SELECT doc_id, text, CASE status WHEN 'approved' THEN 1 ELSE 0 END AS rank FROM samples WHERE status = 'approved' OR status = 'rejected' AND lang = 'en')"""
@@ -80,4 +91,7 @@ v AS (SELECT item_id, gram, (1 + ln(tf)) * coalesce(idf, ln(1 + n) + 1) AS v FRO
 s AS (SELECT item_id AS query_id, doc_id, sum(w * v) / any_value(wn.norm) / any_value(vn.norm) AS raw FROM w JOIN v USING (gram) JOIN wn USING (doc_id) JOIN vn USING (item_id) GROUP BY 1, 2)
 SELECT query_id, doc_id, score, place FROM (SELECT query_id, doc_id, round(raw, 4) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(raw, 4) DESC, rank DESC, doc_id) AS place
   FROM s JOIN usable USING (doc_id) WHERE raw >= 0.2) WHERE place <= 2""",
+    "stored_events": """SELECT user_id, event_id, event_type, value FROM (
+  SELECT user_id, event_id, event_type, CASE WHEN event_id % 5 = 0 THEN value + 1 ELSE value END AS value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC NULLS LAST, event_id DESC) AS place FROM events)
+WHERE place <= 10""",
 }
