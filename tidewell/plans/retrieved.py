@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import TOKEN
-from tidewell.operators import chat, retrieval
+from tidewell.functions.text import TOKEN, padded
+from tidewell.operators import chat, retrieval, scoring
 from tidewell.sources import text_files
 from tidewell.sources.tables import table
 
@@ -24,7 +24,7 @@ def gram_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.gram_df(retrieval.gram_counts(docs(spark, sf_dir), "doc_id"), "doc_id")
+    return scoring.text_df(docs(spark, sf_dir).select(padded(F.col("text")).alias("padded")), "padded")
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,10 +32,7 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = retrieval.bm25(docs(spark, sf_dir), items(spark, sf_dir)).withColumn("bm25", F.round("bm25", 4))
-    from tidewell.operators.latest import last_rows
-
-    return last_rows(scores, ["query_id"], [F.desc("bm25"), F.asc("doc_id")], 3).select("query_id", "doc_id", "bm25")
+    return retrieval.bm25_topk(docs(spark, sf_dir), items(spark, sf_dir), 3).select("query_id", "doc_id", F.col("score").alias("bm25"))
 
 
 def memory_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,12 +61,14 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fusion_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = text_files.chunks(docs(spark, sf_dir)).withColumn("chunk_id", F.concat_ws("-", "doc_id", "section", "part")).withColumn("weight", F.when(F.col("part") == 0, 1.12).otherwise(1.0))
     q = items(spark, sf_dir)
-    longer = q.withColumn("text", F.concat("text", F.lit(" data model")))
-    hits = retrieval.fused([(retrieval.document_blend(parts, q), 1.0), (retrieval.document_blend(parts, longer), 0.42)])
+    # Both wordings of a question are searched in one pass.
+    wordings = [q.select(F.struct("query_id", F.lit(w).alias("share")).alias("query_id"), F.concat("text", F.lit(more)).alias("text")) for w, more in ((1.0, ""), (0.42, " data model"))]
+    found = retrieval.document_blend(parts, wordings[0].unionByName(wordings[1]))
+    hits = retrieval.fused([(found.select("query_id.query_id", "chunk_id", (F.col("score") * F.col("query_id.share")).alias("score")), 1.0)])
     sizes = parts.select("chunk_id", F.col("doc_id").alias("source"), F.length("text").alias("length"))
-    kept = retrieval.context(hits.join(sizes, "chunk_id"))
+    kept = retrieval.context(sizes.join(F.broadcast(hits), "chunk_id"))
     near = retrieval.hash_topk(parts.select(F.col("chunk_id").alias("doc_id"), "text"), q, 4, 0.42).withColumnRenamed("doc_id", "chunk_id")
-    return retrieval.with_vector_hits(kept, near.join(sizes.drop("source"), "chunk_id")).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "place")
+    return retrieval.with_vector_hits(kept, sizes.drop("source").join(F.broadcast(near), "chunk_id")).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "place")
 
 
 def example_block(spark: SparkSession, sf_dir: str) -> DataFrame:
