@@ -23,8 +23,12 @@ def gram_tf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.gram_counts(items(spark, sf_dir), "query_id")
 
 
+def text_df(rows: DataFrame) -> DataFrame:
+    return scoring.text_df(rows.select(padded(F.col("text")).alias("padded")), "padded")
+
+
 def gram_df(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scoring.text_df(docs(spark, sf_dir).select(padded(F.col("text")).alias("padded")), "padded")
+    return text_df(docs(spark, sf_dir))
 
 
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
