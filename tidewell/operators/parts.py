@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -164,30 +163,55 @@ def suppressed(boxes: DataFrame, image: str, label: str, score: str, key: str, o
     """``boxes`` that stay when, best score first, each box overlapping a kept one of its label by more than ``overlap`` goes; with ``place``.
 
     An image's best ``before`` boxes are looked at and ``after`` stay at most; ties go to the least key. The first cap bounds what a task holds of an
-    image. Kept boxes are found by the squares of a grid they lie in, as wide as the largest box, so far boxes never meet.
+    image. Images stream through the window's partitions; all that came with a batch are worked on at a time, place by place.
     """
-    rows = best_first(boxes, image, score, key, before)
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("place", ignore_index=True)
-        box = frame[["x0", "y0", "x1", "y1"]].to_numpy(float)
-        area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
-        side = max((box[:, 2:] - box[:, :2]).max(), 1e-9)
-        grid = np.floor(box[:, :2] / side).astype(np.int64)
-        kept: dict[tuple, list[int]] = {}
-        chosen: list[int] = []
-        for i, (kind, gx, gy) in enumerate(zip(frame[label].tolist(), *grid.T.tolist(), strict=True)):
-            near = [j for dx in (-1, 0, 1) for dy in (-1, 0, 1) for j in kept.get((kind, gx + dx, gy + dy), ())]
-            if near:
-                size = np.minimum(box[i, 2:], box[near, 2:]) - np.maximum(box[i, :2], box[near, :2])
-                shared = np.prod(np.maximum(size, 0), axis=1)
-                if (shared > overlap * (area[i] + area[near] - shared)).any():
-                    continue
-            kept.setdefault((kind, gx, gy), []).append(i)
-            chosen.append(i)
-            if len(chosen) == after:
-                break
-        out = frame.iloc[chosen]
-        return out.assign(place=np.arange(1, len(out) + 1))
-
-    return rows.groupBy(image).applyInPandas(run, rows.schema)
+    rows = best_first(boxes, image, score, key, before).sortWithinPartitions(image, "place")
+    names, schema = ("x0", "y0", "x1", "y1"), rows.schema
+
+    def chosen(table: pa.Table) -> list[pa.RecordBatch]:
+        place = table.column("place").to_numpy()
+        first = np.flatnonzero(place == 1)
+        code = table.column(label).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        stays = kept_boxes(np.stack([table.column(c).cast(pa.float64()).to_numpy() for c in names], axis=1), code, first, overlap)
+        count = np.cumsum(stays)
+        number = count - np.repeat(count[first] - stays[first], np.diff(np.append(first, len(place))))
+        at = np.flatnonzero(stays & (number <= after))
+        out = table.take(pa.array(at))
+        return out.set_column(out.column_names.index("place"), "place", pa.array(number[at], pa.int32())).combine_chunks().to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            # The last image may go on in the next batch.
+            starts = np.flatnonzero(held.column("place").to_numpy() == 1)
+            done = int(starts[-1]) if len(starts) else 0
+            if done:
+                yield from chosen(held.slice(0, done))
+                held = held.slice(done)
+        if held is not None and held.num_rows:
+            yield from chosen(held)
+
+    return rows.mapInArrow(run, schema)
+
+
+def kept_boxes(box: np.ndarray, label: np.ndarray, first: np.ndarray, overlap: float) -> np.ndarray:
+    """Which boxes stay of images that begin at ``first``, their boxes best first: a box goes if a kept one before it with its label overlaps it by more than ``overlap``."""
+    size = np.diff(np.append(first, len(box)))
+    order = np.argsort(-size, kind="stable")
+    area = (box[:, 2] - box[:, 0]) * (box[:, 3] - box[:, 1])
+    wide = int(size.max(initial=0))
+    # Images by places, the longest images first, so those that reach a place are the first rows.
+    at = first[order][:, None] + np.minimum(np.arange(wide), size[order][:, None] - 1)
+    x0, y0, x1, y1 = (box[:, i][at] for i in range(4))
+    kind, whole, keep = label[at], area[at], np.zeros(at.shape, bool)
+    for i in range(wide):
+        n = int(np.searchsorted(-size[order], -i, "left"))
+        now, past = (slice(0, n), slice(i, i + 1)), (slice(0, n), slice(0, i))
+        shared = np.maximum(np.minimum(x1[now], x1[past]) - np.maximum(x0[now], x0[past]), 0) * np.maximum(np.minimum(y1[now], y1[past]) - np.maximum(y0[now], y0[past]), 0)
+        covers = keep[past] & (kind[now] == kind[past]) & (shared > overlap * (whole[now] + whole[past] - shared))
+        keep[:n, i] = ~covers.any(axis=1)
+    out = np.zeros(len(box), bool)
+    out[at[keep]] = True
+    return out
