@@ -10,21 +10,17 @@ EFFECTS = ["remove_bg", "blur", "crop", "none", "remove_object"]
 POSITIONS = ["front", "back", "left", "right", "center", "largest", "smallest"]
 FIELDS = ["target", "effect", "intensity", "crop", "position", "rank", "count", "attributes"]
 
+#: An answer's values as they stand in the JSON: one reading gives all.
+RAW = "target string, effect string, intensity string, crop string, selector struct<position: string, rank: string, count: string, attributes: string>"
+
 
 def phrase(text: Column) -> Column:
     """Lower case, underscores as blanks, single blanks."""
     return F.trim(F.regexp_replace(F.translate(F.lower(text), "_", " "), r"\s+", " "))
 
 
-def outer_object(text: Column) -> Column:
-    """The outermost ``{...}`` of a text, also within a code fence; null without one or if it is no JSON object."""
-    found = F.regexp_extract(text, r"(?s)\{.*\}", 0)
-    return F.when(F.json_object_keys(found).isNotNull(), found)
-
-
-def string_list(json: Column, path: str) -> Column:
-    """A list of strings at ``path``; one string is a list of itself, anything else null."""
-    raw = F.get_json_object(json, path)
+def string_list(raw: Column) -> Column:
+    """A list of strings from a value of JSON; one string is a list of itself, anything else null."""
     return F.when(raw.startswith("["), F.from_json(raw, "array<string>")).when(raw.startswith("{") | (raw == ""), None).when(raw.isNotNull(), F.array(raw))
 
 
@@ -40,40 +36,53 @@ def canonical(name: Column, known: dict[str, str]) -> Column:
     """
     words = F.split(name, " ")
     tails = F.transform(F.sequence(F.lit(2), F.greatest(F.size(words), F.lit(2))), lambda i: looked_up(F.array_join(F.slice(words, i, F.greatest(F.size(words) - i + 1, F.lit(0))), " "), known))
-    es = F.when(name.endswith("es"), looked_up(F.regexp_replace(name, "es$", ""), known))
-    s = F.when(name.endswith("s"), looked_up(F.regexp_replace(name, "s$", ""), known))
+    es = F.when(name.endswith("es"), looked_up(F.left(name, F.length(name) - 2), known))
+    s = F.when(name.endswith("s"), looked_up(F.left(name, F.length(name) - 1), known))
     return F.coalesce(looked_up(name, known), es, s, F.get(F.array_compact(tails), F.lit(0)), name)
 
 
-def whole_1_50(json: Column, path: str) -> Column:
-    n = F.get_json_object(json, path).try_cast("double").cast("int")
-    return F.when(n.between(1, 50), n)
+def whole_1_50(raw: Column) -> Column:
+    return F.when(raw.between(1, 50), raw)
 
 
 def parsed(df: DataFrame, text: Column, known: dict[str, str], effects: dict[str, str]) -> DataFrame:
     """``df`` with ``answer``, a struct of target, effect, intensity, crop, position, rank, count, attributes; null if the text has no usable answer.
 
-    Usable: at least one target and an effect that is known, directly or by alias (``effects``). Intensity is cut to 0..100 toward zero, 15
-    if it is no number; rank 1 is null; attributes are the first five different ones.
+    The JSON is the outermost ``{...}`` of the text, also within a code fence. Usable: at least one target and an effect that is known, directly or by alias (``effects``).
+    Of equal names in an object the last counts. Intensity is cut to 0..100 toward zero, 15 if it is no number; rank 1 is null; attributes are the first five different ones. What is read more than
+    once is a column of its own, so that a value is taken from the JSON, and a phrase made, once.
     """
-    rows = df.withColumn("_j", outer_object(text))
-    j = F.col("_j")
-    named = F.transform(F.filter(string_list(j, "$.target"), lambda x: F.trim(x) != ""), lambda x: canonical(phrase(x), known))
-    effect = F.lower(F.trim(F.coalesce(F.nullif(F.get_json_object(j, "$.effect"), F.lit("")), F.lit("remove_bg"))))
-    effect = F.coalesce(looked_up(effect, effects), effect)
-    number = F.get_json_object(j, "$.intensity").try_cast("double")
-    crop = F.lower(F.trim(F.get_json_object(j, "$.crop"))).isin("true", "1", "yes")
-    position = phrase(F.get_json_object(j, "$.selector.position"))
-    rank = whole_1_50(j, "$.selector.rank")
-    attributes = F.transform(string_list(j, "$.selector.attributes"), phrase)
-    attributes = F.slice(F.array_distinct(F.filter(attributes, lambda x: x != "")), 1, 5)
-    rows = rows.withColumn("_t", F.array_distinct(named)).withColumn("_e", effect)
+    rows = df.withColumn("_o", F.regexp_extract(text, r"(?s)\{.*\}", 0))
+    rows = rows.withColumn("_j", F.when(F.json_object_keys("_o").isNotNull(), F.from_json("_o", RAW)))
+    raw = {"_t": F.col("_j.target"), "_e": F.col("_j.effect"), "_a": F.col("_j.selector.attributes"), "_p": phrase(F.col("_j.selector.position")), "_i": F.col("_j.intensity").try_cast("double").cast("int")}
+    raw |= {f"_{c}": F.col(f"_j.selector.{c}").try_cast("double").cast("int") for c in ("rank", "count")}
+    raw["_c"] = F.lower(F.trim(F.col("_j.crop"))).isin("true", "1", "yes")
+    rows = rows.withColumns(raw)
+    rows = rows.withColumns({
+        "_t": F.transform(F.filter(string_list(F.col("_t")), lambda x: F.trim(x) != ""), phrase), "_a": F.transform(string_list(F.col("_a")), phrase),
+        "_e": F.lower(F.trim(F.coalesce(F.nullif("_e", F.lit("")), F.lit("remove_bg")))),
+    })
+    rows = rows.withColumns({
+        "_t": F.array_distinct(F.transform("_t", lambda x: canonical(x, known))), "_e": F.coalesce(looked_up(F.col("_e"), effects), F.col("_e")),
+        "_a": F.slice(F.array_distinct(F.filter("_a", lambda x: x != "")), 1, 5),
+    })
+    rank = whole_1_50(F.col("_rank"))
     answer = F.struct(
-        F.col("_t").alias("target"), F.col("_e").alias("effect"), F.least(F.greatest(F.coalesce(number.cast("int"), F.lit(15)), F.lit(0)), F.lit(100)).alias("intensity"),
-        (F.coalesce(crop, F.lit(False)) | (F.col("_e") == "crop")).alias("crop"), F.when(position.isin(*POSITIONS), position).alias("position"),
-        F.when(rank > 1, rank).alias("rank"), whole_1_50(j, "$.selector.count").alias("count"), F.coalesce(attributes, F.array().cast("array<string>")).alias("attributes"),
+        F.col("_t").alias("target"), F.col("_e").alias("effect"), F.least(F.greatest(F.coalesce("_i", F.lit(15)), F.lit(0)), F.lit(100)).alias("intensity"),
+        (F.coalesce("_c", F.lit(False)) | (F.col("_e") == "crop")).alias("crop"), F.when(F.col("_p").isin(*POSITIONS), F.col("_p")).alias("position"),
+        F.when(rank > 1, rank).alias("rank"), whole_1_50(F.col("_count")).alias("count"), F.coalesce("_a", F.array().cast("array<string>")).alias("attributes"),
     )
-    return rows.withColumn("answer", F.when((F.size("_t") > 0) & F.col("_e").isin(*EFFECTS), answer)).drop("_j", "_t", "_e")
+    return rows.withColumn("answer", F.when((F.size("_t") > 0) & F.col("_e").isin(*EFFECTS), answer)).drop("_o", "_j", *raw)
+
+
+def answer_lines(rows: DataFrame) -> DataFrame:
+    """``line, n``: the usable answers as lines of JSON, and how often each comes.
+
+    Answers are counted first, so a line is made once per different answer; those that are null are left out by their count, as a filter on the
+    answer would be worked out before it, all steps once more.
+    """
+    counts = rows.groupBy("answer").agg(F.count("answer").alias("n")).where("n > 0")
+    return counts.select(canonical_json(F.col("answer")).alias("line"), "n").groupBy("line").agg(F.sum("n").alias("n"))
 
 
 def canonical_json(answer: Column) -> Column:
@@ -85,7 +94,7 @@ def canonical_json(answer: Column) -> Column:
 
 def flattened(answer: Column) -> Column:
     """An answer for comparison: sorted targets and attributes, and a count of 1 where there is a position but no count."""
-    parts = {c: answer[c] for c in FIELDS} | {"target": F.array_sort(answer["target"]), "attributes": F.array_sort(F.array_distinct(answer["attributes"]))}
+    parts = {c: answer[c] for c in FIELDS} | {"target": F.sort_array(answer["target"]), "attributes": F.sort_array(F.array_distinct(answer["attributes"]))}
     parts["count"] = F.coalesce(answer["count"], F.when(answer["position"].isNotNull(), 1))
     return F.struct(*(parts[c].alias(c) for c in FIELDS))
 

@@ -42,8 +42,7 @@ def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def answer_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = answers.parsed(answered(spark, sf_dir), F.col("text"), KNOWN, EFFECTS).where("answer is not null")
-    return rows.select(answers.canonical_json(F.col("answer")).alias("line")).groupBy("line").agg(F.count("*").alias("n"))
+    return answers.answer_lines(answers.parsed(answered(spark, sf_dir), F.col("text"), KNOWN, EFFECTS))
 
 
 def field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
