@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -245,10 +246,33 @@ def peer_ratio(df: DataFrame, group: str, value: str, least: int = 3) -> DataFra
     return df.groupBy(group).agg(F.when(F.count(value) >= least, F.max(value) / F.percentile(value, F.lit(0.5))).alias("ratio"))
 
 
+#: Rows whose weights a task makes at a time.
+BOOTSTRAP_ROWS = 1024
+#: Numbers of 32 bits up to which a Poisson number of mean 1 is at most 0, 1, 2, ...
+POISSON_STEPS = (np.cumsum([np.exp(-1.0) / math.factorial(k) for k in range(13)]) * 2**32).astype(np.uint64).astype(np.uint32)
+
+
+def poisson_weights(seeds: np.ndarray, resamples: int) -> np.ndarray:
+    """Rows by resamples: a Poisson number of mean 1 each, from a mixed hash of the row's seed and the resample's number."""
+    half = (resamples + 1) // 2
+    x = seeds[:, None] + np.arange(1, half + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    bits = x.view(np.uint32).reshape(len(seeds), 2 * half)[:, :resamples]
+    out = np.zeros(bits.shape, np.int8)
+    for step in POISSON_STEPS:
+        above = bits >= step
+        if not above.any():
+            break
+        out += above
+    return out
+
+
 def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, resamples: int = 2000) -> DataFrame:
     """One row: ``n, mean_a, mean_b`` and ``low, high``, the 95 percent interval of the mean difference.
 
-    Every row has a Poisson weight of its own in each resample, seeded by its key, so tasks give partial sums and no row is
+    Every row has a Poisson weight of its own in each resample, from a hash of its key and the resample's number, so tasks give partial sums and no row is
     gathered anywhere. Rows with a null are left out.
     """
     rows = pairs.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.xxhash64(key).alias("seed"), F.col(a).cast("double").alias("a"), F.col(b).cast("double").alias("b"))
@@ -256,10 +280,11 @@ def paired_bootstrap(pairs: DataFrame, key: str, a: str, b: str, resamples: int
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         weight, total = np.zeros(resamples), np.zeros(resamples)
         for frame in frames:
-            for seed, d in zip(frame["seed"], frame["b"] - frame["a"], strict=True):
-                w = np.random.default_rng(seed & (2**64 - 1)).poisson(1, resamples)
-                weight += w
-                total += w * d
+            seeds, d = frame["seed"].to_numpy().astype(np.uint64), (frame["b"] - frame["a"]).to_numpy()
+            for at in range(0, len(d), BOOTSTRAP_ROWS):
+                w = poisson_weights(seeds[at : at + BOOTSTRAP_ROWS], resamples)
+                weight += w.sum(axis=0, dtype=np.int64)
+                total += d[at : at + BOOTSTRAP_ROWS] @ w.astype(np.float64)
         yield pd.DataFrame({"resample": np.arange(resamples), "weight": weight, "total": total})
 
     sums = rows.mapInPandas(run, "resample int, weight double, total double").groupBy("resample").agg(F.sum("weight").alias("weight"), F.sum("total").alias("total"))
