@@ -12,13 +12,19 @@ LEAST_WAIT, MOST_FAILURES, MOST_TRIES = 0.1, 5, 5
 Step = Callable[[object, tuple], tuple[object, tuple]]
 
 
-def folded(df: DataFrame, key: str, order: list[str], needs: list[str], step: Step, result: str) -> DataFrame:
+def deal(df: DataFrame, key: str) -> DataFrame:
+    """``df`` dealt by key over as many tasks as the session has shuffle partitions. A fixed number, since steps of few bytes and much work would be put together in few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
+def folded(df: DataFrame, key: str, order: list[str], needs: list[str], step: Step, result: str, dealt: bool = False) -> DataFrame:
     """``df``'s columns ``key, *order, *needs`` with the columns ``result`` that ``step`` gives for each row.
 
     ``step(state, needed values)`` returns the new state (None at a key's start) and the row's results. Rows are dealt
-    by key, sorted, and stream through the task: a key with any number of rows takes the memory of its state alone.
+    by key, unless they are ``dealt`` already, sorted, and stream through the task: a key with any number of rows takes the memory of its state alone.
     """
-    rows = df.select(*dict.fromkeys([key, *order, *needs])).repartition(key).sortWithinPartitions(key, *order)
+    rows = df.select(*dict.fromkeys([key, *order, *needs]))
+    rows = (rows if dealt else deal(rows, key)).sortWithinPartitions(key, *order)
     names = [part.split()[0] for part in result.split(",")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
