@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.operators.state import folded
+from tidewell.operators.state import deal, folded
 
 # Fixed values of the rules.
 LEAST_IOU, LOOK_SHARE, LEAST_LOOK = 0.15, 0.4, 0.35
@@ -56,13 +56,44 @@ def paired(score: np.ndarray, allowed: np.ndarray) -> dict[int, int]:
     """Track to detection, best score first; ties go to the later track, then the later detection."""
     rows, cols = np.nonzero(allowed)
     out: dict[int, int] = {}
-    for k in np.lexsort((-cols, -rows, -score[rows, cols])).tolist():
-        t, d = int(rows[k]), int(cols[k])
-        if t not in out and d not in out.values():
+    taken: set[int] = set()
+    order = np.lexsort((-cols, -rows, -score[rows, cols]))
+    for t, d in zip(rows[order].tolist(), cols[order].tolist(), strict=True):
+        if t not in out and d not in taken:
             out[t] = d
+            taken.add(d)
     return out
 
 
+def coast(row: list[float]) -> None:
+    row[6] += row[4]
+    row[7] += row[5]
+    row[BLIND] += 1
+
+
+def see(rows: list[list[float]], t: int, box: list[float]) -> bool:
+    """A matched track moves on, or coasts if its box is a part of it or has run together with another's; whether it moved."""
+    row, (x0, y0, x1, y1) = rows[t], box
+    size = (x1 - x0) * (y1 - y0)
+    merged = False
+    if size > MERGED * max(row[SIZE], 1):
+        for o, other in enumerate(rows):
+            if o != t and other[SIZE] >= MERGED_SIZE * size:
+                dx, dy = other[6] + other[4], other[7] + other[5]
+                shared = max(min(x1, other[2] + dx) - max(x0, other[0] + dx), 0) * max(min(y1, other[3] + dy) - max(y0, other[1] + dy), 0)
+                merged = merged or shared > MERGED_SHARE * other[SIZE]
+    row[LOST] = 0
+    if size < PARTLY * row[SIZE] or merged:
+        coast(row)
+        return False
+    speed = [(row[4 + i] + ((box[i] + box[i + 2]) - (row[i] + row[i + 2])) / 2 / (row[BLIND] + 1)) / 2 for i in (0, 1)]
+    fastest, now = TOP_SPEED * SIDE, float(np.hypot(*speed))
+    row[4:6] = speed if now <= fastest else [v * fastest / now for v in speed]
+    row[BOX], row[DRIFT], row[BLIND] = box, [0.0, 0.0], 0
+    row[SIZE] = 0.7 * row[SIZE] + 0.3 * size if row[SIZE] else size
+    return True
+
+
 class Clip:
     """The tracks of a clip: a row of numbers and a look each."""
 
@@ -97,32 +128,25 @@ class Clip:
                 self.add(box[d], look[d], d in chosen)
         return sorted(chosen.tolist())
 
-    def coast(self, who: np.ndarray) -> None:
-        self.rows[who, DRIFT] += self.rows[who, SPEED]
-        self.rows[who, BLIND] += 1
-
-    def miss(self, who: np.ndarray) -> None:
-        self.rows[who, LOST] += 1
-        self.coast(who)
-        self.rows[who, SPEED] *= SLOWING
-
-    def see(self, t: int, box: np.ndarray, look: np.ndarray, others: np.ndarray) -> None:
-        """A matched track moves on, or coasts if its box is a part of it or has run together with another's."""
-        row, size = self.rows[t], sizes(box[None])[0]
-        shared = overlaps(box[None], others[:, BOX] + np.tile(others[:, DRIFT] + others[:, SPEED], 2))[0]
-        merged = size > MERGED * max(row[SIZE], 1) and ((others[:, SIZE] >= MERGED_SIZE * size) & (shared > MERGED_SHARE * others[:, SIZE])).any()
-        row[LOST] = 0
-        if size < PARTLY * row[SIZE] or merged:
-            self.coast(np.array([t]))
-            return
-        step = ((box[:2] + box[2:]) - (row[0:2] + row[2:4])) / 2 / (row[BLIND] + 1)
-        speed = (row[SPEED] + step) / 2
-        fastest, now = TOP_SPEED * SIDE, float(np.hypot(*speed))
-        row[SPEED] = speed if now <= fastest else speed * fastest / now
-        row[BOX], row[DRIFT], row[BLIND] = box, 0, 0
-        row[SIZE] = 0.7 * row[SIZE] + 0.3 * size if row[SIZE] else size
-        if not np.isnan(look).any():
-            self.looks[t] = look
+    def miss_all(self) -> None:
+        rows = self.rows
+        rows[:, LOST] += 1
+        rows[:, DRIFT] += rows[:, SPEED]
+        rows[:, BLIND] += 1
+        rows[:, SPEED] *= SLOWING
+
+    def move(self, found: dict[int, int], box: np.ndarray, look: np.ndarray) -> None:
+        """Every track in turn: matched ones see their box, the others miss. Few numbers at a time, so on plain lists."""
+        rows, boxes, known = self.rows.tolist(), box.tolist(), (~np.isnan(look).any(axis=1)).tolist()
+        for t, row in enumerate(rows):
+            if t not in found:
+                row[LOST] += 1
+                coast(row)
+                row[4] *= SLOWING
+                row[5] *= SLOWING
+            elif see(rows, t, boxes[found[t]]) and known[found[t]]:
+                self.looks[t] = look[found[t]]
+        self.rows = np.array(rows).reshape(-1, 12)
 
     def take_up(self, t: int, box: np.ndarray) -> None:
         self.rows[t, BOX], self.rows[t, SIZE] = box, sizes(box[None])[0]
@@ -133,7 +157,7 @@ class Clip:
         """The chosen detections of the next frame, and what happened: chosen, followed, lost, recognised or newcomer."""
         if not len(box):
             if len(self.rows):
-                self.miss(np.arange(len(self.rows)))
+                self.miss_all()
             return [], "lost" if len(self.targets()) else "empty"
         if not len(self.targets()):
             return self.start(box, look), "chosen"
@@ -144,14 +168,12 @@ class Clip:
         found = paired(iou * (1 - LOOK_SHARE) + close * LOOK_SHARE, (shared > 0) & (iou >= LEAST_IOU) & (close >= LEAST_LOOK))
         wide = ahead + np.array([-REACH, -REACH, REACH, REACH])
         for t in self.targets().tolist():
+            if t in found:
+                continue
             free = [d for d in range(len(box)) if d not in found.values() and overlaps(wide[t][None], box[d][None])[0, 0] > 0 and close[t, d] >= LEAST_LOOK]
-            if t not in found and free:
+            if free:
                 found[t] = max(free, key=lambda d: (close[t, d], -d))
-        for t in range(len(self.rows)):
-            if t in found:
-                self.see(t, box[found[t]], look[found[t]], np.delete(self.rows, t, axis=0))
-            else:
-                self.miss(np.array([t]))
+        self.move(found, box, look)
         targets, event = self.targets(), "followed"
         if any(t not in found for t in targets):
             event = "lost"
@@ -189,23 +211,27 @@ class Clip:
         return pick, how
 
 
-def tracked(detections: DataFrame, clip: str, frame: str, choose: Chooser) -> DataFrame:
+def tracked(detections: DataFrame, clip: str, frame: str, choose: Chooser, dealt: bool = False) -> DataFrame:
     """``clip, frame, chosen, event``: the detections (``det``) of each frame that go on with those that ``choose`` picked at first.
 
     ``detections`` has det (null: a frame without any), a box and ``look``, shares of a histogram (null: unknown). Boxes are in a picture of 160 units. A frame's
-    detections travel in one row; a clip's frames stream through a fold in order, so a clip of any length takes the memory of its tracks.
+    detections are gathered in one row; a clip's frames stream through a fold in order, so a clip of any length takes the memory of its tracks. Rows are shuffled once, by
+    clip; not at all if they are ``dealt`` by clip already.
     """
-    known = F.sort_array(F.collect_list(F.when(F.col("det").isNotNull(), F.struct("det", F.array("x0", "y0", "x1", "y1").alias("box"), "look"))))
-    rows = detections.groupBy(clip, frame).agg(known.alias("d")).select(clip, frame, F.col("d.det").alias("det"), F.col("d.box").alias("box"), F.col("d.look").alias("look"))
+    detections = detections if dealt else deal(detections, clip)
+    known = F.sort_array(F.collect_list(F.when(F.col("det").isNotNull(), F.struct("det", F.array("x0", "y0", "x1", "y1").alias("box"), F.coalesce("look", F.array().cast("array<double>")).alias("look")))))
+    rows = detections.groupBy(clip, frame).agg(known.alias("d")).select(clip, frame, F.col("d.det").alias("det"), F.flatten("d.box").alias("box"), F.transform("d.look", F.size).alias("bins"), F.flatten("d.look").alias("look"))
 
     def step(state: Clip | None, values: tuple) -> tuple[Clip, tuple]:
-        det, box, look = values
+        det, box, sizes, look = values
         state = state or Clip(choose)
-        bins = max([len(v) for v in look if v is not None], default=max(state.looks.shape[1], 1))
-        looks = np.array([np.full(bins, np.nan) if v is None else v for v in look], float).reshape(len(det), bins)
+        # Boxes and looks come as flat lists; a look without bins is unknown.
+        bins = int(sizes.max(initial=0)) or max(state.looks.shape[1], 1)
+        looks = np.full((len(det), bins), np.nan)
+        looks[sizes > 0] = look.reshape(-1, bins)
         if len(state.rows) and state.looks.shape[1] != bins:
             state.looks = np.full((len(state.rows), bins), np.nan)
-        chosen, event = state.frame(np.array([list(b) for b in box], float).reshape(-1, 4), looks)
+        chosen, event = state.frame(box.reshape(-1, 4), looks)
         return state, ([int(det[d]) for d in chosen], event)
 
-    return folded(rows, clip, [frame], ["det", "box", "look"], step, "chosen array<bigint>, event string").select(clip, frame, "chosen", "event")
+    return folded(rows, clip, [frame], ["det", "box", "bins", "look"], step, "chosen array<bigint>, event string", True).select(clip, frame, "chosen", "event")
