@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.text import padded
 from tidewell.operators import scoring
-from tidewell.operators.retrieval import idf, small
+from tidewell.operators.retrieval import idf
 
 #: Versions that stay: the one in use and the one before, which a search may still read.
 KEPT_VERSIONS = 2
@@ -62,6 +62,23 @@ def counted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "rank", "mark", "padded").mapInArrow(run, f"{kinds}, gram array<bigint>, tf array<int>")
 
 
+def with_norms(rows: DataFrame, grams: pa.Table, n_docs: int) -> DataFrame:
+    """``rows`` with ``norm``, worked out where a document's grams lie, so that none are shuffled; ``grams`` (gram, df) are sent to the tasks."""
+    order = np.argsort(grams.column("gram").to_numpy())
+    shared = rows.sparkSession.sparkContext.broadcast((grams.column("gram").to_numpy()[order], np.log((1 + n_docs) / (1 + grams.column("df").to_numpy()[order])) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, value = shared.value
+        for batch in scoring.portions(batches):
+            lists = batch.column("gram")
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            weight = (1 + np.log(batch.column("tf").flatten().to_numpy())) * value[np.searchsorted(known, lists.flatten().to_numpy())]
+            yield batch.append_column("norm", pa.array(np.sqrt(np.bincount(row, weight * weight, batch.num_rows)), pa.float64()))
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
+    return rows.mapInArrow(run, f"{kinds}, norm double")
+
+
 def refresh(docs: DataFrame, path: str) -> Refresh:
     """Bring the index in ``path`` up to ``docs`` (doc_id, text, and rank, a number for ties).
 
@@ -110,11 +127,15 @@ def refresh(docs: DataFrame, path: str) -> Refresh:
         changes = came.select(F.explode("gram").alias("gram"), F.lit(1).cast("long").alias("df")).unionByName(left.select(F.explode("gram").alias("gram"), F.lit(-1).cast("long").alias("df")))
         grams = part(spark, path, "grams", done[-1]).unionByName(changes.groupBy("gram").agg(F.sum("df").alias("df"))).groupBy("gram").agg(F.sum("df").alias("df")).where("df > 0")
     grams = store(grams, "grams")
-    known = small(grams.select("gram", idf(F.col("df"), F.lit(max(1, n))).alias("idf")), scoring.SENT_ROWS)
-    each = rows.select("doc_id", F.explode(F.arrays_zip("gram", "tf")).alias("x")).select("doc_id", "x.gram", "x.tf").join(known, "gram")
-    weight = (1 + F.log("tf")) * F.col("idf")
-    norms = each.groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
-    store(rows.join(norms.hint("merge"), "doc_id", "left").na.fill(0.0, ["norm"]), "documents")
+    found = grams.limit(scoring.SENT_ROWS + 1).toArrow()
+    if found.num_rows <= scoring.SENT_ROWS:
+        store(with_norms(rows, found, max(1, n)), "documents")
+    else:
+        value = grams.select("gram", idf(F.col("df"), F.lit(max(1, n))).alias("idf"))
+        each = rows.select("doc_id", F.explode(F.arrays_zip("gram", "tf")).alias("x")).select("doc_id", "x.gram", "x.tf").join(value.hint("merge"), "gram")
+        weight = (1 + F.log("tf")) * F.col("idf")
+        norms = each.groupBy("doc_id").agg(F.sqrt(F.sum(weight * weight)).alias("norm"))
+        store(rows.join(norms.hint("merge"), "doc_id", "left").na.fill(0.0, ["norm"]), "documents")
     store(spark.createDataFrame([(n, signature)], "n_docs long, signature long"), "meta")
     for name in ("rows", "kinds"):
         fs.delete(folder(spark, f"{path}/{name}")[1], True)
