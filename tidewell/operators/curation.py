@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions.text import SPACE, mojibake, normal
 from tidewell.operators.latest import best_per_key
+from tidewell.operators.retrieval import small
 
 
 def hash_order(key: Column, seed: int = 0) -> Column:
@@ -175,8 +176,8 @@ def label_issues(images: DataFrame, labels: DataFrame, n_classes: int) -> DataFr
 
 
 def remapped(labels: DataFrame, mapping: DataFrame) -> DataFrame:
-    """Labels with the class numbers of another vocabulary; classes without a match go. ``mapping``: ``cls, new_cls``."""
-    return labels.join(mapping, "cls").withColumn("cls", F.col("new_cls")).drop("new_cls")
+    """Labels with the class numbers of another vocabulary; classes without a match go. ``mapping``: ``cls, new_cls``, counted and, if small, sent to the labels: a class's rows are not gathered."""
+    return labels.join(small(mapping), "cls").withColumn("cls", F.col("new_cls")).drop("new_cls")
 
 
 def instruction_records(cases: DataFrame, template: str) -> DataFrame:
