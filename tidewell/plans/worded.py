@@ -39,15 +39,13 @@ DOCUMENT_WORDS = ("the", "then", "of", "in", "ing", "that", "thing", "nicht", "d
 
 
 def worded_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prompts(spark, sf_dir)
-    read = wording.read_targets(rows, "o_orderkey", "prompt", VOCABULARY)
-    return rows.join(read, "o_orderkey").select("o_orderkey", F.array_join(wording.quoted_or(F.col("prompt"), F.col("target")), ",").alias("target"), "erase")
+    read = wording.with_targets(prompts(spark, sf_dir), "prompt", VOCABULARY)
+    return read.select("o_orderkey", F.array_join(wording.quoted_or(F.col("prompt"), F.col("target")), ",").alias("target"), "erase")
 
 
 def worded_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = prompts(spark, sf_dir)
-    read = wording.read_targets(rows, "o_orderkey", "prompt", VOCABULARY)
-    return rows.join(read, "o_orderkey").withColumn("e", wording.effect(wording.tidy(F.col("prompt")), F.col("erase"))).select("o_orderkey", "e.effect", "e.crop", "e.intensity")
+    read = wording.with_targets(prompts(spark, sf_dir), "prompt", VOCABULARY)
+    return read.withColumn("e", wording.effect(wording.tidy(F.col("prompt")), F.col("erase"))).select("o_orderkey", "e.effect", "e.crop", "e.intensity")
 
 
 def worded_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
