@@ -16,6 +16,8 @@ from tidewell.sources.tables import settled
 ROW = 1 << 31
 #: Sides of a tile, within which cells are labelled by one task at a time.
 TILE = 256
+#: Links of one group that a task holds at once.
+MOST_LINKS = 2_000_000
 # The share of a mask that must be left, and that an island must have; the overlap and caps of suppression.
 LEAST_LEFT, LEAST_ISLAND = 0.5, 0.04
 MOST_OVERLAP, MOST_BEFORE, MOST_AFTER = 0.7, 1000, 300
@@ -25,6 +27,21 @@ def cell_number(x: Column, y: Column) -> Column:
     return y.cast("long") * ROW + x
 
 
+def united(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least of the numbers below ``n`` that each reaches by links from ``a`` to ``b``."""
+    label = np.arange(n)
+    while len(a):
+        ra, rb = label[a], label[b]
+        apart = ra != rb
+        if not apart.any():
+            break
+        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
+        np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
+        while (label[label] != label).any():
+            label = label[label]
+    return label
+
+
 def run_labels(tile: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     """The first cell of each cell's part, as a number; cells come ordered by tile, row and column, and tiles don't touch each other.
 
@@ -44,33 +61,30 @@ def run_labels(tile: np.ndarray, y: np.ndarray, x: np.ndarray) -> np.ndarray:
     count = np.maximum(np.searchsorted(row * wide + left, (row + 1) * wide + right + 1, "right") - low, 0)
     a = np.repeat(np.arange(len(first)), count)
     b = np.arange(len(a)) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
-    label = np.arange(len(first))
-    while len(a):
-        ra, rb = label[a], label[b]
-        apart = ra != rb
-        if not apart.any():
-            break
-        a, b, ra, rb = a[apart], b[apart], ra[apart], rb[apart]
-        np.minimum.at(label, np.maximum(ra, rb), np.minimum(ra, rb))
-        while (label[label] != label).any():
-            label = label[label]
-    root = first[label]
+    root = first[united(len(first), a, b)]
     return np.repeat(y[root].astype(np.int64) * ROW + x[root], last - first + 1)
 
 
-def tile_parts(cells: DataFrame, group: str, tile: int) -> DataFrame:
-    """``group, x, y, part``: parts within each tile. Tiles stream through sorted partitions; a task holds the last, unfinished one."""
+def changes(columns: list[pa.Array]) -> np.ndarray:
+    """Numbers rows by runs of equal values in all columns."""
+    codes = [np.asarray(c.dictionary_encode(null_encoding="encode").indices) for c in columns]
+    return np.cumsum(np.concatenate([[0], np.any([c[1:] != c[:-1] for c in codes], axis=0)])) if len(columns[0]) else np.zeros(0, int)
+
+
+def tile_parts(cells: DataFrame, group: list[str], tile: int, distinct: bool = False) -> DataFrame:
+    """``group, x, y, part``: parts within each tile. Tiles stream through sorted partitions; a task holds the last, unfinished one. ``distinct``: cells don't repeat."""
     at = [F.floor(F.col(c) / tile).alias(f"t{c}") for c in "xy"]
-    rows = cells.select(F.col(group).alias("g"), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y")).distinct().select("g", "x", "y", *at)
-    rows = rows.withColumn("tile", F.xxhash64("g", "tx", "ty"))
-    kind = rows.schema["g"].dataType.simpleString()
+    names = [f"g{i}" for i in range(len(group))]
+    rows = cells.select(*(F.col(c).alias(n) for c, n in zip(group, names, strict=True)), F.col("x").cast("long").alias("x"), F.col("y").cast("long").alias("y"))
+    rows = (rows if distinct else rows.distinct()).select(*names, "x", "y", *at)
+    rows = rows.withColumn("tile", F.xxhash64(*names, "tx", "ty"))
+    kinds = ", ".join(f"{n} {rows.schema[n].dataType.simpleString()}" for n in names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def labelled(rows: pa.Table) -> pa.RecordBatch:
-            names = [rows.column(c).combine_chunks() for c in ("g", "tx", "ty")]
-            codes = np.cumsum(np.concatenate([[0], np.any([np.asarray(c.dictionary_encode().indices)[1:] != np.asarray(c.dictionary_encode().indices)[:-1] for c in names], axis=0)])) if rows.num_rows else np.zeros(0, int)
+            own = [rows.column(c).combine_chunks() for c in (*names, "tx", "ty")]
             y, x = (rows.column(c).to_numpy() for c in "yx")
-            return pa.RecordBatch.from_arrays([names[0], pa.array(x), pa.array(y), pa.array(run_labels(codes, y, x))], ["g", "x", "y", "part"])
+            return pa.RecordBatch.from_arrays([*own[:-2], pa.array(x), pa.array(y), pa.array(run_labels(changes(own), y, x))], [*names, "x", "y", "part"])
 
         held = None
         for batch in batches:
@@ -85,42 +99,96 @@ def tile_parts(cells: DataFrame, group: str, tile: int) -> DataFrame:
             yield labelled(held)
 
     # Tiles with one hash keep to themselves by the columns behind it.
-    placed = rows.repartition("tile").sortWithinPartitions("tile", "g", "tx", "ty", "y", "x")
-    return placed.mapInArrow(run, f"g {kind}, x long, y long, part long").withColumnRenamed("g", group)
+    placed = rows.repartition("tile").sortWithinPartitions("tile", *names, "tx", "ty", "y", "x")
+    return placed.mapInArrow(run, f"{kinds}, x long, y long, part long").withColumnsRenamed(dict(zip(names, group, strict=True)))
+
+
+def near_linked(edges: DataFrame, group: list[str], most: int = MOST_LINKS) -> DataFrame:
+    """``group, a, b, ended``: links from each number to the least it reaches among links that a task holds at once.
+
+    Groups stream through sorted partitions. ``ended``: all of the group was held, so ``b`` is the least at all; a group of more than ``most`` links is
+    worked on in portions, whose links still join what was joined.
+    """
+    kinds = ", ".join(f"{g} {edges.schema[g].dataType.simpleString()}" for g in group)
+
+    def solved(rows: pa.Table, ended: bool) -> pa.RecordBatch:
+        rows = rows.combine_chunks()
+        code = np.tile(changes([rows.column(g).combine_chunks() for g in group]), 2)
+        number = np.concatenate([rows.column(c).to_numpy() for c in "ab"])
+        order = np.lexsort((number, code))
+        head = np.concatenate([[True], (np.diff(code[order]) != 0) | (np.diff(number[order]) != 0)])
+        node = np.empty(len(order), np.int64)
+        node[order] = np.cumsum(head) - 1
+        first, n = order[head], rows.num_rows
+        label = united(len(first), node[:n], node[n:])
+        far = np.flatnonzero(label != np.arange(len(first)))
+        own = rows.select(group).take(pa.array(first[far] % n)).combine_chunks()
+        arrays = [*(own.column(g).combine_chunks() for g in group), pa.array(number[first[far]]), pa.array(number[first[label[far]]]), pa.array(np.full(len(far), ended))]
+        return pa.RecordBatch.from_arrays(arrays, [*group, "a", "b", "ended"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, cut = None, False
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            held = pa.concat_tables([held, table]) if held is not None else table
+            code = changes([held.column(g).combine_chunks() for g in group])
+            first, last = int(np.searchsorted(code, 1)), int(np.searchsorted(code, code[-1]))
+            if cut and last:
+                yield solved(held.slice(0, first), False)
+                held, last, cut = held.slice(first), last - first, False
+            if last:
+                yield solved(held.slice(0, last), True)
+                held = held.slice(last)
+            if held.num_rows > most:
+                yield solved(held, False)
+                held, cut = held.slice(held.num_rows), True
+        if held is not None and held.num_rows:
+            yield solved(held, not cut)
+
+    return edges.repartition(*group).sortWithinPartitions(*group).mapInArrow(run, f"{kinds}, a long, b long, ended boolean")
 
 
-def least_linked(edges: DataFrame, group: str) -> DataFrame:
-    """``group, a, least``: the least number that each linked number reaches, by rounds of large and small stars."""
-    links, before = settled(edges.select(group, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
+def least_linked(edges: DataFrame, group: list[str], most: int = MOST_LINKS) -> DataFrame:
+    """``group, a, least``: the least number that each linked number reaches; groups that a task can't hold at once go on by rounds of large and small stars."""
+    near = settled(near_linked(edges, group, most))
+    done, left = (near.where(test).select(*group, "a", "b") for test in ("ended", "not ended"))
+    if left.isEmpty():
+        return done.withColumnRenamed("b", "least")
+    links, before = settled(left.select(*group, F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()), None
     while True:
-        both = links.unionByName(links.select(group, F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy(group, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.where("b > a").join(low, [group, "a"]).select(group, F.col("b").alias("a"), F.col("m").alias("b"))
-        low = large.groupBy(group, "a").agg(F.min("b").alias("m"))
-        small = large.join(low, [group, "a"]).where("b > m").select(group, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
+        both = links.unionByName(links.select(*group, F.col("b").alias("a"), F.col("a").alias("b")))
+        low = both.groupBy(*group, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
+        large = both.where("b > a").join(low, [*group, "a"]).select(*group, F.col("b").alias("a"), F.col("m").alias("b"))
+        low = large.groupBy(*group, "a").agg(F.min("b").alias("m"))
+        small = large.join(low, [*group, "a"]).where("b > m").select(*group, F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.withColumnRenamed("m", "b"))
         links = settled(small.distinct())
-        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64(group, "a", "b"))).first()
+        now = links.agg(F.count("*"), F.bit_xor(F.xxhash64(*group, "a", "b"))).first()
         if now == before:
-            return links.select(group, "a", F.col("b").alias("least"))
+            return done.unionByName(links).withColumnRenamed("b", "least")
         before = now
 
 
+def linked_tiles(rows: DataFrame, group: list[str], tile: int) -> DataFrame:
+    """``group, part, least``: for parts of tiles that touch parts of other tiles, the first cell of all that they reach."""
+    rim = rows.where(" or ".join(f"{c} % {tile} in (0, {tile - 1})" for c in "xy"))
+    steps = F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1))))).alias("to")
+    near = rim.select(*group, "x", "y", F.col("part").alias("b"), steps)
+    # Only steps that leave the tile can link two of its parts' labels.
+    near = near.where(" or ".join(f"floor({c} / {tile}) <> floor(to.{c} / {tile})" for c in "xy")).select(*group, "b", "to.x", "to.y")
+    edges = rim.select(*group, "x", "y", F.col("part").alias("a")).join(near, [*group, "x", "y"]).where("a <> b").select(*group, "a", "b")
+    return least_linked(edges, group).withColumnRenamed("a", "part")
+
+
 def connected_parts(cells: DataFrame, group: str, tile: int = TILE) -> DataFrame:
     """``group, x, y, part``: cells (x, y, not negative) that touch by sides or corners are of one part, named by its first cell in reading order.
 
     Tiles of ``tile`` by ``tile`` cells are labelled apart, so one huge image is spread over tasks; then cells along the tiles' edges
     link the labels of neighbours, and only those links are brought together. Repeated cells count once.
     """
-    rows = settled(tile_parts(cells, group, tile))
-    rim = rows.where(" or ".join(f"{c} % {tile} in (0, {tile - 1})" for c in "xy"))
-    steps = F.explode(F.array(*(F.struct((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y")) for dx, dy in ((1, 0), (0, 1), (1, 1), (-1, 1))))).alias("to")
-    near = rim.select(group, F.col("part").alias("b"), steps).select(group, "b", "to.x", "to.y")
-    edges = rim.select(group, "x", "y", F.col("part").alias("a")).join(near, [group, "x", "y"]).where("a <> b").select(group, "a", "b").distinct()
-    edges = settled(edges)
-    if edges.isEmpty():
-        return rows
-    least = least_linked(edges, group).withColumnRenamed("a", "part")
-    return rows.join(least, [group, "part"], "left").select(group, "x", "y", F.coalesce("least", "part").alias("part"))
+    rows = settled(tile_parts(cells, [group], tile))
+    return rows.join(linked_tiles(rows, [group], tile), [group, "part"], "left").select(group, "x", "y", F.coalesce("least", "part").alias("part"))
 
 
 def part_sizes(parts: DataFrame, group: str) -> DataFrame:
@@ -137,26 +205,37 @@ OWNERS = {
 
 
 def exclusive_mask(target: DataFrame, others: DataFrame, group: str, inst: str, mode: str, tile: int = TILE) -> DataFrame:
-    """``group, x, y``: the union of the target's cells without those of other instances that own them by ``mode`` (off, subtract, conf, front).
+    """``group, x, y`` of ``exclusive_masks`` for one mode."""
+    return exclusive_masks(target, others, group, inst, (mode,), tile).select(group, "x", "y")
+
+
+def exclusive_masks(target: DataFrame, others: DataFrame, group: str, inst: str, modes: tuple[str, ...], tile: int = TILE) -> DataFrame:
+    """``group, mode, x, y``: for each of the modes (off, subtract, conf, front) the union of the target's cells without those of other instances that own them by it.
 
     Cells have an instance and its ``conf``. If less than half would be left, a group keeps its union; else parts of less than 0.04 of the union go,
-    unless none would stay.
+    unless none would stay; ``off`` keeps the union. Cells are dealt once by group, for all modes, and parts are counted by tile before they are put together.
     """
-    union = target.select(group, "x", "y").distinct()
-    if mode == "off":
-        return union
-    aims = target.groupBy(group).agg(F.max("conf").alias("target_conf"), F.max("y").alias("target_bottom"))
-    owners = others.groupBy(group, inst).agg(F.max("conf").alias("conf"), F.max("y").alias("bottom")).join(aims, group).where(OWNERS[mode]())
-    taken = others.join(owners.select(group, inst), [group, inst], "left_semi").select(group, "x", "y").distinct().withColumn("taken", F.lit(True))
-    by = Window.partitionBy(group)
-    counted = union.join(taken, [group, "x", "y"], "left").withColumns({"whole": F.count("*").over(by), "left": F.count_if(F.col("taken").isNull()).over(by)})
-    spared = F.col("left") < LEAST_LEFT * F.col("whole")
-    counted = settled(counted.withColumn("spared", spared).where(F.col("spared") | F.col("taken").isNull()).select(group, "x", "y", "whole", "spared"))
-    parts = connected_parts(counted.where("not spared"), group, tile)
-    area = F.count("*").over(Window.partitionBy(group, "part"))
-    large = parts.join(counted.select(group, "x", "y", "whole"), [group, "x", "y"]).withColumn("large", area >= LEAST_ISLAND * F.col("whole"))
-    kept = large.withColumn("any", F.max("large").over(by)).where("large or not any")
-    return counted.where("spared").select(group, "x", "y").unionByName(kept.select(group, "x", "y"))
+    none = F.lit(None).cast(others.schema[inst].dataType)
+    rows = target.select(group, "x", "y", F.lit(True).alias("aim"), none.alias("inst"), "conf").unionByName(others.select(group, "x", "y", F.lit(False).alias("aim"), F.col(inst).alias("inst"), "conf"))
+    by, own = Window.partitionBy(group), Window.partitionBy(group, "aim", "inst")
+    rows = rows.repartition(group).withColumns({
+        "conf": F.max("conf").over(own), "bottom": F.max("y").over(own), "target_conf": F.max(F.when(F.col("aim"), F.col("conf"))).over(by), "target_bottom": F.max(F.when(F.col("aim"), F.col("y"))).over(by),
+    })
+    cutting = [m for m in modes if m != "off"]
+    owns = lambda m: ~F.col("aim") & F.col("inst").isNotNull() & F.col(group).isNotNull() & OWNERS[m]()
+    cells = rows.groupBy(group, "x", "y").agg(F.max("aim").alias("aim"), *(F.coalesce(F.max(owns(m)), F.lit(False)).alias(f"cut_{m}") for m in cutting)).where("aim").drop("aim")
+    cells = cells.withColumns({"whole": F.count("*").over(by), **{f"left_{m}": F.count_if(~F.col(f"cut_{m}")).over(by) for m in cutting}})
+    spared = lambda m: F.col(f"left_{m}") < LEAST_LEFT * F.col("whole")
+    kinds = [F.struct(F.lit(m).alias("mode"), F.col(f"cut_{m}").alias("cut"), spared(m).alias("spared")) if m != "off" else F.struct(F.lit(m).alias("mode"), F.lit(False).alias("cut"), F.lit(True).alias("spared")) for m in modes]
+    cells = settled(cells).select(group, "x", "y", "whole", F.explode(F.array(*kinds)).alias("m")).select(group, "m.mode", "whole", "x", "y", "m.cut", "m.spared")
+    # A group's number of cells goes with its parts as if it were a part of the key.
+    key = [group, "mode", "whole"]
+    parts = settled(tile_parts(cells.where("not spared and not cut"), key, tile, True))
+    sizes = parts.groupBy(*key, "part").agg(F.count("*").alias("n")).join(linked_tiles(parts, key, tile), [*key, "part"], "left").withColumn("root", F.coalesce("least", "part")).repartition(*key)
+    large = F.sum("n").over(Window.partitionBy(*key, "root")) >= LEAST_ISLAND * F.col("whole")
+    kept = sizes.withColumn("large", large).withColumn("any", F.max("large").over(Window.partitionBy(*key))).where("large or not any")
+    stay = parts.join(kept.select(*key, "part"), [*key, "part"], "left_semi").select(group, "mode", "x", "y")
+    return cells.where("spared").select(group, "mode", "x", "y").unionByName(stay)
 
 
 def suppressed(boxes: DataFrame, image: str, label: str, score: str, key: str, overlap: float = MOST_OVERLAP, before: int = MOST_BEFORE, after: int = MOST_AFTER) -> DataFrame:
