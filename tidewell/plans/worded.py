@@ -45,7 +45,9 @@ def worded_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def worded_effects(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = wording.with_targets(prompts(spark, sf_dir), "prompt", VOCABULARY)
-    return read.withColumn("e", wording.effect(wording.tidy(F.col("prompt")), F.col("erase"))).select("o_orderkey", "e.effect", "e.crop", "e.intensity")
+    # A column of its own, so that each word is looked for in a text that was made once.
+    read = read.withColumn("lower", wording.tidy(F.col("prompt")))
+    return read.withColumn("e", wording.effect(F.col("lower"), F.col("erase"))).select("o_orderkey", "e.effect", "e.crop", "e.intensity")
 
 
 def worded_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
