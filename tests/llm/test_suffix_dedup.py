@@ -56,6 +56,14 @@ def test_edges_overlaps_and_hot_passages(spark):
         assert figures(suffix_dedup(docs, 40, token_bytes=token_bytes)) == want
 
 
+def test_query_judges_bytes_not_words(spark, tmp_path):
+    passages = [words(200, 8)[:399], words(200, 9)[:400]]
+    texts = [f"{words(60, 20 + k)}{'<>'[k % 2]}{passages[k // 2]}{'|/'[k % 2]}{words(60, 30 + k)}" for k in range(4)]
+    assert all(len(p.split()) > 50 for p in passages)
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [r[2] for r in figures(op2_suffix_dedup(spark, str(tmp_path)))] == [0, 0, 400, 400]
+
+
 def test_hard_cases(odd_docs, no_docs):
     out = suffix_dedup(odd_docs)
     assert figures(out) == brute(pairs(odd_docs), 400)
