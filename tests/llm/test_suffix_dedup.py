@@ -64,6 +64,18 @@ def test_query_judges_bytes_not_words(spark, tmp_path):
     assert [r[2] for r in figures(op2_suffix_dedup(spark, str(tmp_path)))] == [0, 0, 400, 400]
 
 
+def test_query_gives_the_text_that_is_left(spark, tmp_path):
+    short, long, once = words(200, 8)[:399], words(200, 9)[:400], words(300, 10)
+    # é and © end in one byte, with which the repeated string begins.
+    texts = [f"<{short}|{long}>", f"[{long}#{short}]", once, None, "", words(300, 11), words(300, 11), "1é" + words(200, 12)[:399], "2©" + words(200, 12)[:399]]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(op2_suffix_dedup(spark, str(tmp_path)).collect())
+    assert [r["text"] for r in got] == [f"<{short}|>", f"[#{short}]", once, None, "", "", "", "1", "2"]
+    for r, cut in zip(got, [b""] * 7 + [b"\xc3", b"\xc2"], strict=True):
+        rest = (r["text"] or "").encode() + cut
+        assert (r["n_bytes"] - r["n_removed"], r["kept_sha256"]) == (len(rest), hashlib.sha256(rest).hexdigest())
+
+
 def test_hard_cases(odd_docs, no_docs):
     out = suffix_dedup(odd_docs)
     assert figures(out) == brute(pairs(odd_docs), 400)
