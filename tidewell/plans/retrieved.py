@@ -63,16 +63,15 @@ def doc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fusion_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = text_files.chunks(docs(spark, sf_dir)).withColumn("chunk_id", F.concat_ws("-", "doc_id", "section", "part")).withColumn("weight", F.when(F.col("part") == 0, 1.12).otherwise(1.0))
+    parts = text_files.chunks(docs(spark, sf_dir)).select(
+        F.concat_ws("-", "doc_id", "section", "part").alias("chunk_id"), F.col("doc_id").alias("source"), F.length("text").alias("length"), "title", "text", F.when(F.col("part") == 0, 1.12).otherwise(1.0).alias("weight"),
+    )
     q = items(spark, sf_dir)
-    # Both wordings of a question are searched in one pass.
+    # Both wordings of a question are searched in one pass, and its hashed grams too.
     wordings = [q.select(F.struct("query_id", F.lit(w).alias("share")).alias("query_id"), F.concat("text", F.lit(more)).alias("text")) for w, more in ((1.0, ""), (0.42, " data model"))]
-    found = retrieval.document_blend(parts, wordings[0].unionByName(wordings[1]))
-    hits = retrieval.fused([(found.select("query_id.query_id", "chunk_id", (F.col("score") * F.col("query_id.share")).alias("score")), 1.0)])
-    sizes = parts.select("chunk_id", F.col("doc_id").alias("source"), F.length("text").alias("length"))
-    kept = retrieval.context(sizes.join(F.broadcast(hits), "chunk_id"))
-    near = retrieval.hash_topk(parts.select(F.col("chunk_id").alias("doc_id"), "text"), q, 4, 0.42).withColumnRenamed("doc_id", "chunk_id")
-    return retrieval.with_vector_hits(kept, sizes.drop("source").join(F.broadcast(near), "chunk_id")).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "place")
+    found, near = (df.withColumns({"query_id": F.col("query_id.query_id"), "share": F.col("query_id.share")}) for df in retrieval.chunk_searches(parts, wordings[0].unionByName(wordings[1]), wordings[0], 4, 0.42))
+    hits = retrieval.fused([(found.withColumn("score", F.col("score") * F.col("share")), 1.0)], "source", "length")
+    return retrieval.with_vector_hits(retrieval.context(hits), near).select("query_id", "chunk_id", F.round("score", 4).alias("score"), "place")
 
 
 def example_block(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,24 +31,37 @@ def json_lines(spark: SparkSession, path: str, schema: StructType, source: str |
 def windows(body: Column, whole: int = 1100, size: int = 900, shared: int = 180, least: int = 30) -> Column:
     """A text in windows of ``size`` characters that share ``shared`` with the next; up to ``whole`` characters stay whole.
 
-    A whole text under ``least`` characters gives none.
+    A whole text under ``least`` characters gives none. The text is cut once into the steps between windows, and each gets the start of what follows:
+    ``substring`` would count characters from the text's start for every window.
     """
-    starts = F.sequence(F.lit(1), F.greatest(F.length(body), F.lit(1)), F.lit(size - shared))
-    cut = F.transform(starts, lambda i: F.substring(body, i, F.lit(size)))
+    step = size - shared
+    steps = F.regexp_extract_all(body, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+
+    def joined(b: Column) -> Column:
+        after = lambda i: F.concat(*(F.coalesce(F.get(b, i + k), F.lit("")) for k in range(1, 1 - -shared // step)))
+        return F.transform(b, lambda x, i: F.concat(x, F.substring(after(i), 1, shared)) if shared else x)
+
+    # Bound by a lambda, so that the text is cut once a row.
+    cut = F.get(F.transform(F.array(steps), joined), F.lit(0))
     short = F.when(F.length(body) >= least, F.array(body)).otherwise(F.array().cast("array<string>"))
     return F.when(F.length(body) <= whole, short).otherwise(cut)
 
 
+def trimmed(text: Column) -> Column:
+    """``text`` without ``\\s`` at its ends; only its ends are looked at, except where the pattern's ``$`` stands before a last line separator."""
+    return F.when(F.substring(text, -1, 1).isin("\x85", "\u2028", "\u2029"), F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(F.btrim(text, F.lit(" \t\n\x0b\f\r")))
+
+
 def chunks(docs: DataFrame, key: str = "doc_id", least: int = 30) -> DataFrame:
     """``key, section, part, title, text``: sections that start at a heading of level 1 to 3, cut in windows.
 
     A window that doesn't start with a heading gets its section's title (first line, 120 characters at most) in front.
     """
-    trimmed = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    parts = docs.select(key, F.posexplode(F.split("text", r"\n(?=#{1,3} )")).alias("section", "body")).withColumn("body", trimmed(F.col("body")))
-    parts = parts.where(F.length("body") >= least)
+    pieces = F.when(F.contains("text", F.lit("\n#")), F.split("text", r"\n(?=#{1,3} )")).otherwise(F.array("text"))
+    parts = docs.select(key, F.posexplode(pieces).alias("section", "body")).withColumn("body", trimmed(F.col("body")))
     title = F.substring(trimmed(F.regexp_replace(F.substring_index("body", "\n", 1), "^[# ]+", "")), 1, 120)
-    cut = parts.select(key, "section", title.alias("title"), F.posexplode(windows(F.col("body"))).alias("part", "window"))
+    parts = parts.where(F.length("body") >= least).withColumn("title", title)
+    cut = parts.select(key, "section", "title", F.posexplode(windows(F.col("body"))).alias("part", "window"))
     text = F.when(F.startswith("window", F.lit("#")), F.col("window")).otherwise(F.concat("title", F.lit("\n"), "window"))
     return cut.select(key, "section", "part", "title", text.alias("text"))
 
