@@ -49,7 +49,8 @@ def windows(body: Column, whole: int = 1100, size: int = 900, shared: int = 180,
 
 def trimmed(text: Column) -> Column:
     """``text`` without ``\\s`` at its ends; only its ends are looked at, except where the pattern's ``$`` stands before a last line separator."""
-    return F.when(F.substring(text, -1, 1).isin("\x85", "\u2028", "\u2029"), F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(F.btrim(text, F.lit(" \t\n\x0b\f\r")))
+    last = F.endswith(text, F.lit("\x85")) | F.endswith(text, F.lit("\u2028")) | F.endswith(text, F.lit("\u2029"))
+    return F.when(last, F.regexp_replace(text, r"^\s+|\s+$", "")).otherwise(F.btrim(text, F.lit(" \t\n\x0b\f\r")))
 
 
 def chunks(docs: DataFrame, key: str = "doc_id", least: int = 30) -> DataFrame:
@@ -58,7 +59,7 @@ def chunks(docs: DataFrame, key: str = "doc_id", least: int = 30) -> DataFrame:
     A window that doesn't start with a heading gets its section's title (first line, 120 characters at most) in front.
     """
     pieces = F.when(F.contains("text", F.lit("\n#")), F.split("text", r"\n(?=#{1,3} )")).otherwise(F.array("text"))
-    parts = docs.select(key, F.posexplode(pieces).alias("section", "body")).withColumn("body", trimmed(F.col("body")))
+    parts = docs.select(key, F.posexplode(F.transform(pieces, trimmed)).alias("section", "body"))
     title = F.substring(trimmed(F.regexp_replace(F.substring_index("body", "\n", 1), "^[# ]+", "")), 1, 120)
     parts = parts.where(F.length("body") >= least).withColumn("title", title)
     cut = parts.select(key, "section", "title", F.posexplode(windows(F.col("body"))).alias("part", "window"))
